@@ -111,11 +111,6 @@ class _Order:
         return np.concatenate([h[c == 0], h[c > 0][np.argsort(c[c > 0], kind="stable")]]) if c.any() else h
 
 
-def needed(a, b, percent: int = PERCENT):
-    """The least overlap with which sets of sizes a and b link: percent <= 100 o / (a + b - o)."""
-    return -((-percent * (a + b)) // (100 + percent))
-
-
 def _postings(batches: Iterator[pa.RecordBatch], k: int, percent: int, often) -> Iterator[pa.RecordBatch]:
     order = _Order(*often.value)
     parts, held = [], 0
@@ -170,16 +165,13 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b, na, nb)`` the links: partial overlaps by fragment, summed per pair."""
     b = segments.select(F.col("doc").alias("b"), "frag", F.col("seg").alias("seg_b"))
     a = segments.select(F.col("doc").alias("a"), "frag", F.col("seg").alias("seg_a"))
-    partial = pairs.join(b, "b").join(a, ["a", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("o"))
-    whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    partial = pairs.join(b, "b").join(a, ["a", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("seg_a", "seg_b")).alias("o"))
+    # A row that is there twice has each of its segments twice.
+    once = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("o").alias("o"))
+    whole = once.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return whole.where(F.expr(f"100 * o >= {percent} * (na + nb - o)")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _possible(percent: int):
-    """Can a and b link, sharing a shingle that is number pa and pb (from 0) in their orders?"""
-    return F.expr(f"{percent} * greatest(na, nb) <= 100 * least(na, nb) AND (100 + {percent}) * (1 + least(na - pa, nb - pb) - 1) >= {percent} * (na + nb)")
-
-
 def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Link documents whose shingle sets have Jaccard similarity of ``percent`` hundredths or more.
 
@@ -207,33 +199,31 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     # A document that stands for several classes, as its doc_id repeats, is compared by the largest.
     reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max(F.struct("n", "s1", "s2")).alias("c")).select("doc_id", "c.*")
     posts = docs.join(reps, "doc_id").mapInArrow(lambda it: _postings(it, k, percent, often), repeats.COLUMNS)
-    shared = scratch.save(repeats.repeated(posts, firsts_too=True).select("k", "doc", "pos", "n").distinct(), "shared")
-
-    used = shared.select(F.col("doc").alias("doc_id")).distinct()
-    segments = scratch.save(
-        docs.join(reps.join(used, "doc_id", "left_semi"), "doc_id").mapInArrow(lambda it: _segments(it, k, often), "doc long, frag int, seg array<long>").dropDuplicates(["doc", "frag"]),
-        "segments",
-    )
+    shared = scratch.save(repeats.repeated(posts, firsts_too=True).select("k", "doc", "n").distinct(), "shared")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        cut = docs.join(reps.join(used, "doc_id", "left_semi"), "doc_id").mapInArrow(lambda it: _segments(it, k, often), "doc long, frag int, seg array<long>")
+        segments = scratch.save(cut, "segments")
+        out = scratch.save(_verified(pairs, segments, percent), "links")
+        scratch.drop(segments)
+        return out
 
     # Hubs: the documents of a bucket with the least values of a few hashes.
-    rank = [F.struct(F.xxhash64("doc", F.lit(i)).alias("r"), "doc", "pos", "n") for i in range(HUBS)]
+    rank = [F.struct(F.xxhash64("doc", F.lit(i)).alias("r"), "doc", "n") for i in range(HUBS)]
     hubs = shared.groupBy("k").agg(F.count(F.lit(1)).alias("m"), *[F.min(r).alias(f"h{i}") for i, r in enumerate(rank)]).where("m > 1")
-    hubs = hubs.select("k", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.doc", f"h{i}.pos", f"h{i}.n") for i in range(HUBS)]))).alias("h"))
-    pairs = _pairs(hubs.select("k", "h.*"), shared, percent)
-    tested = scratch.save(pairs, "pairs")
-    links = scratch.save(_verified(tested, segments, percent), "links")
+    hubs = hubs.select("k", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.doc", f"h{i}.n") for i in range(HUBS)]))).alias("h"))
+    tested = scratch.save(_pairs(hubs.select("k", "h.*"), shared, percent), "pairs")
+    links = verified(tested)
     comps = connected_components(links, scratch)
 
-    labelled = shared.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k", "doc", "pos", "n", F.coalesce("component", "doc").alias("comp"))
+    labelled = shared.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k", "doc", "n", F.coalesce("component", "doc").alias("comp"))
     open_k = labelled.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
     left = scratch.save(labelled.join(open_k, "k", "left_semi"), "open")
-    rest = _pairs(left, left, percent, across=True).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.save(_verified(rest, segments, percent), "more")
-    if more.isEmpty():
-        final = comps
-    else:
-        joined = links.unionByName(more)
-        final = connected_components(joined, scratch)
+    rest = scratch.save(_pairs(left, left, percent, across=True).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    final = comps
+    if not rest.isEmpty():
+        final = connected_components(links.unionByName(verified(rest)), scratch)
 
     to_comp = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     keyed = sig.join(to_comp, ["n", "s1", "s2"], "left")
@@ -252,17 +242,25 @@ def _unify(out: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, across: bool = False) -> DataFrame:
-    """Distinct candidate pairs (a, b, na, nb), a < b, from rows (k, doc, pos, n) with equal k."""
+    """Candidate pairs (a, b, na, nb), a < b, of rows (k, doc, pos, n) with equal k, that may link.
+
+    Of two prefixes one ends first in the global order. What the sets share up to there is in
+    both prefixes, and so counted here; beyond it, at most the rest of that set is shared.
+    """
     extra = ["comp"] if across else []
-    a = left.select("k", *[F.col(c).alias(f"{c}_1") for c in ("doc", "pos", "n", *extra)])
-    b = right.select("k", *[F.col(c).alias(f"{c}_2") for c in ("doc", "pos", "n", *extra)])
-    j = a.join(b, "k").where("doc_1 < doc_2" if across else "doc_1 != doc_2")
-    if across:
-        j = j.where("comp_1 != comp_2")
-    j = j.select(
-        F.least("doc_1", "doc_2").alias("a"),
-        F.greatest("doc_1", "doc_2").alias("b"),
-        *[F.when(F.col("doc_1") < F.col("doc_2"), F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")).alias(f"{p}a") for c, p in (("n", "n"), ("pos", "p"))],
-        *[F.when(F.col("doc_1") < F.col("doc_2"), F.col(f"{c}_2")).otherwise(F.col(f"{c}_1")).alias(f"{p}b") for c, p in (("n", "n"), ("pos", "p"))],
-    )
-    return j.where(_possible(percent)).select("a", "b", "na", "nb").distinct()
+    a = left.select("k", *[F.col(c).alias(f"{c}_1") for c in ("doc", "n", *extra)])
+    b = right.select("k", *[F.col(c).alias(f"{c}_2") for c in ("doc", "n", *extra)])
+    j = a.join(b, "k").where("doc_1 < doc_2 AND comp_1 != comp_2" if across else "doc_1 != doc_2")
+    j = j.where(f"{percent} * greatest(n_1, n_2) <= 100 * least(n_1, n_2)")
+    swap = F.col("doc_1") > F.col("doc_2")
+    if not across:  # two hubs of a bucket meet in both directions
+        j = j.select(
+            "k",
+            F.least("doc_1", "doc_2").alias("doc_1"),
+            F.greatest("doc_1", "doc_2").alias("doc_2"),
+            F.when(swap, F.col("n_2")).otherwise(F.col("n_1")).alias("n_1"),
+            F.when(swap, F.col("n_1")).otherwise(F.col("n_2")).alias("n_2"),
+        )
+    shared = j.groupBy(F.col("doc_1").alias("a"), F.col("doc_2").alias("b"), F.col("n_1").alias("na"), F.col("n_2").alias("nb")).agg(F.count(F.lit(1)).alias("c"))
+    rest = f"ceil({percent} * greatest(na, nb) / 100) - 1"
+    return shared.where(f"(100 + {percent}) * (c + {rest}) >= {percent} * (na + nb)").select("a", "b", "na", "nb")
