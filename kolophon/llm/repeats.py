@@ -31,13 +31,19 @@ def flush(parts: list[Part]) -> Iterator[pa.RecordBatch]:
     if not parts:
         return
     k, k2, doc, pos, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((pos, doc, k2, k))
+    order = np.lexsort((n, pos, doc, k2, k))
     k, k2, doc, pos, n = (x[order] for x in (k, k2, doc, pos, n))
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])
-    last = np.ones(len(k), bool)
-    last[:-1] = new[1:]
-    role = np.where(new, np.where(last, ONE, FIRST), REST).astype(np.int32)
+    again = ~new  # the very same row
+    again[1:] &= (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1]) & (n[1:] == n[:-1])
+    if again.any():
+        k, k2, doc, pos, n, new = (x[~again] for x in (k, k2, doc, pos, n, new))
+    at = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    several = np.diff(np.append(at, len(k)))[run] > 1
+    head = (doc == doc[at][run]) & (pos == pos[at][run])  # the first row, and any at its place
+    role = np.where(head, np.where(several, FIRST, ONE), REST).astype(np.int32)
     spread = signed(mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)))
     part = np.where(role == REST, spread, k)
     for i in range(0, len(k), 100_000):
@@ -50,9 +56,11 @@ def _decide(cand: pa.Table, firsts_too: bool) -> pa.Table:
     k, k2, role = (cand.column(i).to_numpy() for i in (2, 3, 1))
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])
-    if not firsts_too:
-        return cand.filter(pa.array(~new))
     run = np.cumsum(new) - 1
+    if not firsts_too:
+        at = np.flatnonzero(new)[run]
+        doc, pos = cand.column(4).to_numpy(), cand.column(5).to_numpy()
+        return cand.filter(pa.array((doc != doc[at]) | (pos != pos[at])))
     several = (np.bincount(run) > 1) | (np.bincount(run, weights=role == FIRST) > 0)
     return cand.filter(pa.array(several[run]))
 
