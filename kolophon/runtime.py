@@ -7,9 +7,12 @@ costs a re-read, not a recomputation.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,21 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/kolophon-{sc.applicationId}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to Python workers that would not find it themselves."""
+    home = Path(__file__).resolve().parent
+    paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if any(p and Path(p, home.name).resolve() == home for p in paths) or getattr(spark.sparkContext, "_kolophon_shipped", False):
+        return
+    # The driver serves the file from this place until the application ends.
+    target = Path(tempfile.mkdtemp(prefix="kolophon-"), f"{home.name}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in home.rglob("*.py"):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(target))
+    spark.sparkContext._kolophon_shipped = True
+
+
 class Scratch:
     """Tables that one operator call writes; superseded ones are dropped early."""
 
