@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kolophon.llm.embedding_dedup import embedding_near_dedup
 from kolophon.llm.fingerprints import fingerprint_documents
+from kolophon.llm.html_extraction import extract_main_text
 from kolophon.llm.language_id import fit, identify_language
 from kolophon.llm.line_dedup import line_dedup
 from kolophon.llm.mixing import mix_sources
@@ -46,6 +47,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cube_mixing": op2_cube_mixing,
     "op3_sharding": op3_sharding,
     "op4_ngram_join": op4_ngram_join,
+    "op5_html_extraction": op5_html_extraction,
     "op6_line_dedup": op6_line_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_best_fit_packing": op8_best_fit_packing,
