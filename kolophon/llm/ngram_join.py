@@ -209,9 +209,13 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
         scratch.drop(segments)
         return out
 
-    # Hubs: the documents of a bucket with the least values of a few hashes.
-    rank = [F.struct(F.xxhash64("doc", F.lit(i)).alias("r"), "doc", "n") for i in range(HUBS)]
-    hubs = shared.groupBy("k").agg(F.count(F.lit(1)).alias("m"), *[F.min(r).alias(f"h{i}") for i, r in enumerate(rank)]).where("m > 1")
+    # Hubs of a bucket: the most central document, whose shingles are the most common in buckets on
+    # average, as are those of the text that near copies were made from; and some by hashes.
+    size = shared.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    central = shared.join(size, "k").groupBy("doc", "n").agg(F.sum("m").alias("m")).select("doc", (F.col("m") / F.col("n")).alias("central"))
+    shared = scratch.save(shared.join(central, "doc"), "central")
+    rank = [F.struct((-F.col("central")).alias("r"), "doc", "n")] + [F.struct(F.xxhash64("doc", F.lit(i)).alias("r"), "doc", "n") for i in range(1, HUBS)]
+    hubs = shared.groupBy("k").agg(*[F.min(r).alias(f"h{i}") for i, r in enumerate(rank)])
     hubs = hubs.select("k", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.doc", f"h{i}.n") for i in range(HUBS)]))).alias("h"))
     tested = scratch.save(_pairs(hubs.select("k", "h.*"), shared, percent), "pairs")
     links = verified(tested)
