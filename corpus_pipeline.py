@@ -1,8 +1,78 @@
-"""A corpus pipeline of five operators; see STAGES."""
+"""A corpus pipeline: language ID, line dedup, n-gram join, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kolophon.llm.language_id import UNKNOWN, fit, identify_language
+from kolophon.llm.line_dedup import line_dedup
+from kolophon.llm.mixing import mix_sources
+from kolophon.llm.ngram_join import ngram_join
+from kolophon.llm.packing import best_fit_packing
+from kolophon.runtime import Scratch, ship_package
+
+#: A text is rejected if less than this share of its letters is labelled, or if the label is as unsure.
+LEAST_SCORE = 0.25
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and those that none of the languages of labelled rows fits.
+
+    A document kept without a language gets the one found.
+    """
+    found = identify_language(docs, fit(docs), spans=False)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that are kept in another document; one left blank goes."""
+    done = line_dedup(docs).withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
+    return done.where("n_dropped = 0 OR kept_text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links join, the one with the least doc_id; also any without doc_id."""
+    stay = ngram_join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    drawn = mix_sources(docs).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s")).agg(F.max("copies").alias("copies"))
+    on = docs["doc_id"].eqNullSafe(drawn["d"]) & docs["source"].eqNullSafe(drawn["s"])
+    taken = docs.join(drawn, on).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in token sequences."""
+    return best_fit_packing(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", drop_lines),
+    ("ngram_join", near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Language scores, draws and packing have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on what the one before it wrote."""
+    ship_package(spark)
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    *before, (_, last) = STAGES
+    for name, stage in before:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return last(spark, docs, sf_dir)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kolophon.llm.kernels import slices
 from kolophon.runtime import Scratch
@@ -25,8 +26,10 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: Batches of a whole table, and runs of one level that are compacted.
 BATCHES, FANOUT = 6, 3
 
+#: Columns that `line_dedup` adds.
+ADDED = ("kept_text", "n_lines", "n_dropped")
+
 _KEYS = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
-_OUT = pa.schema([("doc_id", pa.int64()), ("kept_text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -52,10 +55,10 @@ def _keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], schema=_KEYS)
 
 
-def _drop(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+def _drop(batches: Iterator[pa.RecordBatch], text_column: str, min_chars: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, text_column):
         kept, total, dropped = [], [], []
-        for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
+        for text, found in zip(batch.column(text_column), batch.column("_found"), strict=True):
             lines = _lines(text)
             stay = lines
             if found.is_valid:
@@ -65,8 +68,9 @@ def _drop(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Reco
             kept.append(b"\n".join(stay))
             total.append(len(lines))
             dropped.append(len(lines) - len(stay))
-        out = [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())]
-        yield pa.RecordBatch.from_arrays(out, schema=_OUT)
+        new = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())]
+        rest = [c for c in batch.schema.names if c != "_found"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *new], names=[*rest, *ADDED])
 
 
 class LineRuns:
@@ -127,20 +131,21 @@ class LineRuns:
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """Drop lines that many documents have, except in the largest of these.
 
-    ``docs`` has ``doc_id`` (long) and ``text``; other columns are ignored. A text is cut at
+    ``docs`` has ``doc_id`` (long) and ``text``. A text is cut at
     each ``\\n``; a null or empty one is one empty line. A line's key is the line without
     space and ``\\t\\n\\v\\f\\r`` at its ends, lower-cased in A-Z. A key of at least ``min_chars`` code
     points in at least ``min_docs`` documents loses all its lines but those in the largest
     doc_id with it. The others stay, joined by ``\\n``.
 
-    Returns a row per row of ``docs``: doc_id, kept_text, n_lines (before), n_dropped. Rows
-    that repeat a doc_id are one document. A null doc_id is not counted as a document and
+    Returns ``docs`` with kept_text, n_lines (before) and n_dropped; columns that had these
+    names are replaced, and others stay. Rows that repeat a doc_id are one document. A null doc_id is not counted as a document and
     keeps all lines. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "line_dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = scratch.save(docs.where("doc_id IS NOT NULL").mapInArrow(lambda it: _keys(it, min_chars), "doc_id long, k1 long, k2 long"), "keys")
+    docs = docs.select(*[docs[c] for c in docs.columns if c.lower() not in (*ADDED, "_found")])
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = scratch.save(plain.where("doc_id IS NOT NULL").mapInArrow(lambda it: _keys(it, min_chars), "doc_id long, k1 long, k2 long"), "keys")
     # Bounds of the batches; where they lie changes no result.
     cuts = sorted(set(keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True)
     runs = LineRuns(spark)
@@ -150,5 +155,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         own = own.where(F.col("doc_id") < high) if high is not None else own
         runs.add(own)
     gone = keys.join(runs.repeated(min_docs), ["k1", "k2"]).where(F.col("doc_id") != F.col("top"))
-    found = scratch.save(gone.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("found")), "found")
-    return docs.join(found, "doc_id", "left").mapInArrow(lambda it: _drop(it, min_chars), "doc_id long, kept_text string, n_lines long, n_dropped long")
+    found = scratch.save(gone.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_found")), "found")
+    text_column = next(c for c in docs.columns if c.lower() == "text")
+    out = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    found = found.withColumnRenamed("doc_id", "_found_id")
+    joined = docs.join(found, docs["doc_id"] == found["_found_id"], "left").drop("_found_id")
+    return joined.mapInArrow(lambda it: _drop(it, text_column, min_chars), out)
