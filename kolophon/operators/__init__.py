@@ -1 +1 @@
-
+"""Relational and iterative operators, DataFrame to DataFrame."""

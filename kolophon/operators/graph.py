@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +70,56 @@ def label_components(vertices: DataFrame, edges: DataFrame, scratch: Scratch | N
     """``(node, component)`` for all of ``vertices(node)``, isolated ones alone in theirs."""
     found = connected_components(edges, scratch)
     return vertices.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _kruskal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The maximum spanning forest of the edges of one partition."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    table = table.sort_by([("sim", "descending"), ("src", "ascending"), ("dst", "ascending")])
+    src, dst = table.column("src").to_pylist(), table.column("dst").to_pylist()
+    parent: dict = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep = []
+    for a, b in zip(src, dst, strict=True):
+        ra, rb = find(a), find(b)
+        keep.append(ra != rb)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+    yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def maximum_spanning_forest(edges: DataFrame, scratch: Scratch | None = None, part_rows: int = 2_000_000) -> DataFrame:
+    """``(src, dst, sim)``: edges of a maximum spanning forest, which answers every threshold.
+
+    The forest of a union is the forest of the forests' union, so partitions of bounded size
+    are reduced in rounds, each dealing the rest into fewer of them. A forest has fewer edges
+    than nodes; the last partition holds as many, and is the one place where they meet. Ties
+    give one of several forests; the weights are those of all.
+    """
+    scratch = scratch or Scratch(edges.sparkSession, "forest")
+    e = edges.select("src", "dst", F.col("sim").cast("double").alias("sim")).dropna().where("src != dst")
+    n = None
+    while True:
+        e = scratch.save(e, "forest")
+        m = e.count()
+        parts = max(1, -(-m // part_rows))
+        if n is not None and (parts == 1 and n == 1):
+            return e
+        # A round that no longer shrinks ends in one partition.
+        parts = 1 if n is not None and parts >= n else parts
+        e, n = e.repartition(parts).mapInArrow(_kruskal, e.schema), parts
+
+
+def clusters_at(vertices: DataFrame, forest: DataFrame, threshold: float, strict: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """``(node, component)`` of all vertices with the edges at or above the threshold, above it if ``strict``."""
+    keep = F.col("sim") > threshold if strict else F.col("sim") >= threshold
+    return label_components(vertices, forest.where(keep), scratch)

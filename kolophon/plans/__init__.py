@@ -1 +1 @@
-
+"""Pipelines."""

@@ -1,6 +1,744 @@
-"""Named queries over the reference's own operators, with their SQL oracles."""
+"""Named queries over the line and document operators, with their SQL oracles.
+
+Lines are those of ``documents``, with ``source`` as their data set. There are no labels of
+lines, so equal normalised texts are the ground truth where one is asked for. Steps that
+several queries share are tables in the session's cache, by configuration and input path.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kolophon import oracles as O
+from kolophon.config import Apply, Knn, LineFilter, MinHash, Quality, Sampling
+from kolophon.functions import text as T
+from kolophon.operators import evaluation, filters, jaccard, lsh, metrics, minhash, sampling, sweep, vectors
+from kolophon.operators.graph import clusters_at, label_components, maximum_spanning_forest
+from kolophon.plans import pipelines as P
+from kolophon.runtime import Scratch
+from kolophon.sources.tables import TableCache, document_lines, pivot_heatmap, read_table
+
+CFG, RULE = MinHash(), LineFilter()
+T_LINE, T_DOC, FAN_OUT = 0.5, 0.5, 20
+SAMPLE = Sampling(documents=300)
+KNN = Knn(k=10)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Shared:
+    """Steps that queries have in common over one set of tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.cache = TableCache(spark)
+        self.scratch = Scratch(spark, "queries")
+
+    def table(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.dir, name)
+
+    def kept(self, name: str, compute: Callable[[], DataFrame], *key) -> DataFrame:
+        return self.cache.get((self.dir, name, *key), compute)
+
+    @property
+    def lines(self) -> DataFrame:
+        return document_lines(self.table("documents"))
+
+    @property
+    def norm(self) -> DataFrame:
+        return self.lines.where("text IS NOT NULL").withColumn("clean", T.normalize_v2(F.col("text")))
+
+    @property
+    def prep(self) -> DataFrame:
+        return P.prepare_lines(self.lines, RULE)
+
+    def sigs(self, cfg: MinHash = CFG) -> DataFrame:
+        return self.kept("signatures", lambda: minhash.signatures(self.prep, cfg), cfg)
+
+    def reps(self, cfg: MinHash = CFG) -> DataFrame:
+        return self.kept("representatives", lambda: lsh.representatives(self.sigs(cfg)), cfg)
+
+    def pairs(self, cfg: MinHash = CFG) -> DataFrame:
+        return self.kept("pairs", lambda: lsh.representative_pairs(self.reps(cfg), cfg), cfg)
+
+    def members(self, cfg: MinHash = CFG) -> DataFrame:
+        return lsh.members(self.sigs(cfg), self.reps(cfg))
+
+    def forest(self, cfg: MinHash = CFG) -> DataFrame:
+        return self.kept("forest", lambda: maximum_spanning_forest(self.pairs(cfg), self.scratch), cfg)
+
+    def clusters(self, t: float = T_LINE, cfg: MinHash = CFG) -> DataFrame:
+        def compute() -> DataFrame:
+            found = clusters_at(self.reps(cfg).select(F.col("rep").alias("node")), self.forest(cfg), t, scratch=self.scratch)
+            return self.members(cfg).join(found, F.col("rep") == F.col("node")).select(F.col("line_id").alias("node"), "component")
+
+        return self.kept("clusters", compute, cfg, t)
+
+    def dc(self) -> DataFrame:
+        return self.kept("document_clusters", lambda: jaccard.document_clusters(self.prep, self.clusters()), CFG, T_LINE)
+
+    def doc_pairs(self, fan_out: int | None = None) -> DataFrame:
+        return self.kept("document_pairs", lambda: jaccard.document_jaccard(self.dc(), fan_out), CFG, T_LINE, fan_out)
+
+    def doc_components(self, t: float = T_DOC) -> DataFrame:
+        edges = self.doc_pairs(FAN_OUT).where(F.col("jaccard") >= t).select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"))
+        return self.kept("document_components", lambda: label_components(self.dc().select(F.col("doc_id").alias("node")).distinct(), edges, self.scratch), CFG, T_LINE, t)
+
+    def truth(self) -> DataFrame:
+        least = self.prep.groupBy("clean").agg(F.min("line_id").alias("cluster"))
+        return self.kept("truth", lambda: self.prep.join(least, "clean").select(F.col("line_id").alias("node"), "cluster"))
+
+    def unit(self) -> DataFrame:
+        return self.table("embeddings").select("vec_id", F.col("label").cast("string").alias("source"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def knn(self) -> DataFrame:
+        return self.kept("knn", lambda: vectors.knn_exact(self.unit(), KNN.k), KNN)
+
+
+_shared: dict[tuple, Shared] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function of the shared steps under its name."""
+
+    def add(f: Callable[[Shared], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf_dir)
+            if key not in _shared:
+                _shared[key] = Shared(spark, sf_dir)
+            return f(_shared[key])
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return run
+
+    return add
+
+
+def r6(c: str) -> Column:
+    return F.round(F.col(c), 6).alias(c)
+
+
+# Text ------------------------------------------------------------------------------------------
+
+
+@query(O.with_(O.RAW, f"SELECT line_id, {O.V1} AS clean FROM lines"))
+def normalize_v1(s: Shared) -> DataFrame:
+    return s.lines.select("line_id", T.normalize_v1(F.col("text")).alias("clean"))
+
+
+@query(O.with_(O.RAW, f"SELECT line_id, {O.V1_LOWER} AS clean FROM lines"))
+def normalize_v1_lowercase(s: Shared) -> DataFrame:
+    return s.lines.select("line_id", T.normalize_v1(F.col("text"), punctuation=False, diacritics=False).alias("clean"))
+
+
+@query(O.with_(O.NORM, "SELECT line_id, clean FROM norm"))
+def normalize_v2_gap(s: Shared) -> DataFrame:
+    return s.norm.select("line_id", "clean")
+
+
+@query()
+def normalize_v3_nfkc(s: Shared) -> DataFrame:
+    return s.lines.select("line_id", T.normalize_v3(F.col("text")).alias("clean"))
+
+
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
+def strip_diacritics(s: Shared) -> DataFrame:
+    return s.table("documents").select("doc_id", T.strip_diacritics(F.col("text")).alias("plain"))
+
+
+@query(O.with_(O.NORM, f"SELECT line_id, {O.WORDS}::INT AS words, length(clean)::INT AS chars FROM norm"))
+def word_and_char_counts(s: Shared) -> DataFrame:
+    return s.norm.select("line_id", T.word_count(F.col("clean")).alias("words"), F.length("clean").alias("chars"))
+
+
+@query(O.with_(O.NORM, f"SELECT line_id FROM norm WHERE {O.WORDS} BETWEEN 6 AND 50"))
+def word_count_filter(s: Shared) -> DataFrame:
+    return s.norm.where(T.word_count(F.col("clean")).between(6, 50)).select("line_id")
+
+
+@query(O.with_(O.NORM, "SELECT line_id FROM norm WHERE length(clean) >= 5"))
+def min_length_filter(s: Shared) -> DataFrame:
+    return s.norm.where(F.length("clean") >= 5).select("line_id")
+
+
+@query(O.with_(O.NORM, r"SELECT line_id FROM norm WHERE regexp_matches(clean, '^[A-Za-zÀ-ɏḀ-ỿ\x{0300}-\x{036f}\s]+$') AND length(regexp_replace(clean, '[^\p{L}]', '', 'g')) >= 3"))
+def script_filter(s: Shared) -> DataFrame:
+    return s.norm.where(T.is_script(F.col("clean"), "latin")).select("line_id")
+
+
+def _shingles(k: int) -> None:
+    def shingles(s: Shared) -> DataFrame:
+        return s.prep.select("line_id", F.posexplode(T.shingles(F.col("clean"), k)).alias("i", "shingle"))
+
+    shingles.__name__ = f"shingles_k{k}"
+    query(O.with_(O.PREP, f"SELECT line_id, (i - 1)::INT AS i, {O.shingle(k)} AS shingle FROM {O.positions(k)}"))(shingles)
+
+
+for _k in range(2, 7):
+    _shingles(_k)
+
+
+@query(O.with_(O.PREP, f"SELECT DISTINCT line_id, ('0x' || substr(md5({O.shingle(4)}), 1, 8))::BIGINT & 2147483647 AS h FROM {O.positions(4)}"))
+def shingle_hash(s: Shared) -> DataFrame:
+    return s.prep.select("line_id", F.explode(T.shingles(F.col("clean"), 4)).alias("g")).select("line_id", T.hash31(F.col("g")).alias("h")).distinct()
+
+
+@query()
+def embed_encoder(s: Shared) -> DataFrame:
+    """The encoder interface with a toy encoder: letter frequencies."""
+
+    def encoder():
+        import numpy as np
+
+        def run(texts):
+            return np.array([[str(t).count(c) for c in "abcdefghijklmnop"] for t in texts], dtype=np.float32)
+
+        return run
+
+    return vectors.embed(s.prep.select("line_id", "clean"), encoder).select("line_id", "embedding")
+
+
+# Corpus ----------------------------------------------------------------------------------------
+
+
+@query(O.with_(O.RAW, "SELECT line_id, doc_id, pos::INT AS pos, source, text FROM lines"))
+def line_explode(s: Shared) -> DataFrame:
+    return s.lines.select("line_id", "doc_id", "pos", "source", "text")
+
+
+@query(O.with_(O.NORM, "SELECT line_id, doc_id, source FROM norm WHERE doc_id IS NOT NULL AND source IS NOT NULL AND clean <> ''"))
+def dropna_nonempty(s: Shared) -> DataFrame:
+    return s.norm.dropna(subset=["doc_id", "source"]).where("clean != ''").select("line_id", "doc_id", "source")
+
+
+@query(O.with_(O.PREP, "SELECT min(line_id) AS line_id, clean FROM prep GROUP BY clean"))
+def dedup_keep_first(s: Shared) -> DataFrame:
+    return filters.keep_first(s.prep, ["clean"], ["line_id"]).select("line_id", "clean")
+
+
+@query(O.with_(O.PREP, "SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS lines FROM prep GROUP BY source"))
+def source_value_counts(s: Shared) -> DataFrame:
+    return s.prep.groupBy("source").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("lines"))
+
+
+@query(O.with_(O.PREP, "SELECT doc_id, count(*) AS n_lines FROM prep GROUP BY doc_id"))
+def doc_sizes(s: Shared) -> DataFrame:
+    return s.prep.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+ELIGIBLE = O.PREP + ",\neligible AS (SELECT doc_id, min(source) AS source, count(*) AS n_lines FROM prep GROUP BY doc_id HAVING count(*) BETWEEN 2 AND 10)"
+
+
+@query(O.with_(ELIGIBLE, "SELECT * FROM eligible"))
+def eligible_docs(s: Shared) -> DataFrame:
+    return filters.sized_documents(s.prep, 2, 10)
+
+
+@query(O.with_(ELIGIBLE, "SELECT source, count(*) AS documents, round(avg(n_lines), 6) AS mean_lines, quantile_cont(n_lines, 0.5)::DOUBLE AS median_lines FROM eligible GROUP BY source"))
+def doc_meta_stats(s: Shared) -> DataFrame:
+    d = filters.sized_documents(s.prep, 2, 10)
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("n_lines"), 6).alias("mean_lines"), F.percentile("n_lines", F.lit(0.5)).alias("median_lines"))
+
+
+SAMPLED = ELIGIBLE + f""",
+quota AS (SELECT source, floor(greatest(count(*)::DOUBLE / (SELECT count(*) FROM eligible) * least({SAMPLE.documents}, (SELECT count(*) FROM eligible)), 1.0))::INT AS q FROM eligible GROUP BY source),
+sampled AS (SELECT doc_id, source, n_lines FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {O.hash32(f"'{SAMPLE.seed}'", "doc_id::VARCHAR")}, doc_id) AS r FROM eligible) JOIN quota USING (source) WHERE r <= q)"""
+
+
+@query(O.with_(SAMPLED, "SELECT * FROM sampled"))
+def stratified_sample(s: Shared) -> DataFrame:
+    return sampling.stratified_sample(filters.sized_documents(s.prep, 2, 10), SAMPLE.documents, SAMPLE.seed).select("doc_id", "source", "n_lines")
+
+
+@query(O.with_(SAMPLED, "SELECT line_id, doc_id FROM prep WHERE doc_id IN (SELECT doc_id FROM sampled)"))
+def semi_join_sample(s: Shared) -> DataFrame:
+    return P.sample_lines(s.prep, SAMPLE).select("line_id", "doc_id")
+
+
+@query(O.with_(SAMPLED, "SELECT p.source, count(DISTINCT doc_id) AS documents, count(*) AS lines FROM prep p WHERE doc_id IN (SELECT doc_id FROM sampled) GROUP BY p.source"))
+def sample_report(s: Shared) -> DataFrame:
+    return P.sample_lines(s.prep, SAMPLE).groupBy("source").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("lines"))
+
+
+# MinHash ---------------------------------------------------------------------------------------
+
+
+@query(O.with_(O.signatures(CFG), "SELECT line_id, array_to_string(sig, ',') AS sig FROM sigs"))
+def minhash_signature(s: Shared) -> DataFrame:
+    return s.sigs().select("line_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+
+
+@query(O.with_(O.signatures(CFG), "SELECT slot::INT AS slot, sum(v)::BIGINT AS total, min(v) AS least FROM slots GROUP BY slot"))
+def signature_slot_agg(s: Shared) -> DataFrame:
+    return s.sigs().select(F.posexplode("sig").alias("slot", "v")).groupBy("slot").agg(F.sum("v").alias("total"), F.min("v").alias("least"))
+
+
+@query(O.with_(O.candidates(CFG), "SELECT rep, band::INT AS band, array_to_string(key, ',') AS key FROM bands"))
+def lsh_bands(s: Shared) -> DataFrame:
+    return minhash.bands(s.reps().select(F.col("rep").alias("line_id"), "sig"), CFG).select(F.col("line_id").alias("rep"), "band", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"))
+
+
+@query(O.with_(O.signatures(CFG), f"SELECT band::INT AS band, size, count(*) AS buckets FROM (SELECT b AS band, count(*) AS size FROM (SELECT *, unnest(range({CFG.bands})) AS b FROM sigs) GROUP BY b, list_slice(sig, b * 8 + 1, (b + 1) * 8)) GROUP BY band, size"))
+def bucket_sizes(s: Shared) -> DataFrame:
+    buckets = minhash.bands(s.sigs(), CFG).groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
+    return buckets.groupBy("band", "size").agg(F.count(F.lit(1)).alias("buckets"))
+
+
+@query(O.with_(O.candidates(CFG), "SELECT src, dst FROM rep_pairs"))
+def candidate_pairs(s: Shared) -> DataFrame:
+    return s.pairs().select("src", "dst")
+
+
+@query(O.with_(O.candidates(CFG), "SELECT src, dst, round(sim, 6) AS sim FROM rep_pairs"))
+def pair_similarity(s: Shared) -> DataFrame:
+    return s.pairs().select("src", "dst", r6("sim"))
+
+
+@query(O.with_(O.candidates(CFG), "SELECT n_shared_bands, count(*) AS pairs FROM rep_pairs GROUP BY n_shared_bands"))
+def pair_band_multiplicity(s: Shared) -> DataFrame:
+    return s.pairs().groupBy("n_shared_bands").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(O.with_(O.candidates(CFG) + ",\nsets AS (SELECT line_id, list(h) AS hs FROM sh GROUP BY line_id)", "SELECT src, dst, round(len(list_intersect(a.hs, b.hs))::DOUBLE / (len(a.hs) + len(b.hs) - len(list_intersect(a.hs, b.hs))), 6) AS jaccard FROM rep_pairs JOIN sets a ON a.line_id = src JOIN sets b ON b.line_id = dst"))
+def exact_shingle_jaccard(s: Shared) -> DataFrame:
+    sets = s.prep.select("line_id", F.array_distinct(T.shingles(F.col("clean"), CFG.k)).alias("set"))
+    return jaccard.exact_jaccard(s.pairs(), sets, "line_id", "set").select("src", "dst", r6("jaccard"))
+
+
+# Graph -----------------------------------------------------------------------------------------
+
+
+@query(O.with_(O.clusters(CFG, T_LINE), "SELECT node, component FROM clusters"))
+def line_clusters(s: Shared) -> DataFrame:
+    return s.clusters()
+
+
+@query(O.with_(O.clusters(CFG, T_LINE), "SELECT size, count(*) AS clusters FROM (SELECT count(*) AS size FROM clusters GROUP BY component) GROUP BY size"))
+def cluster_sizes(s: Shared) -> DataFrame:
+    return metrics.cluster_sizes(s.clusters()).groupBy("size").agg(F.count(F.lit(1)).alias("clusters"))
+
+
+TS = (0.3, 0.5, 0.7, 0.9, 1.0)
+
+
+def _counts_sql() -> str:
+    ctes, selects = O.candidates(CFG), []
+    for t in TS:
+        n = f"c{int(t * 100)}"
+        ctes += O.components("SELECT rep AS node FROM reps", f"SELECT src, dst FROM rep_pairs WHERE sim >= {t}", n)
+        selects.append(f"SELECT {t}::DOUBLE AS threshold, count(DISTINCT component) AS clusters FROM {n}")
+    return O.with_(ctes, " UNION ALL ".join(selects))
+
+
+@query(_counts_sql())
+def cluster_count_by_threshold(s: Shared) -> DataFrame:
+    # A forest on n nodes with m edges at or above a threshold has n - m components.
+    n = s.reps().agg(F.count(F.lit(1)).alias("n"))
+    ts = s.spark.createDataFrame([(t,) for t in TS], "threshold double")
+    kept = ts.join(s.forest().select("sim"), F.col("sim") >= F.col("threshold"), "left").groupBy("threshold").agg(F.count("sim").alias("m"))
+    return kept.crossJoin(n).select("threshold", (F.col("n") - F.col("m")).alias("clusters"))  # n is one row
+
+
+@query()
+def msf_weights(s: Shared) -> DataFrame:
+    return s.forest().groupBy(r6("sim")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE, FAN_OUT) + O.components("SELECT doc_id AS node FROM doc_size", f"SELECT doc_a AS src, doc_b AS dst FROM doc_pairs WHERE jaccard >= {T_DOC}", "docc"), "SELECT node, component FROM docc"))
+def document_clusters(s: Shared) -> DataFrame:
+    return s.doc_components()
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE, FAN_OUT) + O.components("SELECT doc_id AS node FROM doc_size", f"SELECT doc_a AS src, doc_b AS dst FROM doc_pairs WHERE jaccard >= {T_DOC}", "docc"), "SELECT component AS group_id, count(*) AS size, array_to_string(list(node ORDER BY node), ',') AS members FROM docc GROUP BY component HAVING count(*) >= 2"))
+def duplicate_groups(s: Shared) -> DataFrame:
+    groups = jaccard.duplicate_groups(s.doc_components())
+    return groups.select("group_id", "size", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE, FAN_OUT) + O.components("SELECT doc_id AS node FROM doc_size", f"SELECT doc_a AS src, doc_b AS dst FROM doc_pairs WHERE jaccard >= {T_DOC}", "docc") + ",\nsz AS (SELECT count(*) AS size FROM docc GROUP BY component)", "SELECT sum(size)::BIGINT AS documents, count(*) FILTER (size >= 2) AS groups, (sum(size) FILTER (size >= 2))::BIGINT AS duplicated, round(100.0 * (sum(size) FILTER (size >= 2)) / sum(size), 6) AS percent FROM sz"))
+def duplicate_summary(s: Shared) -> DataFrame:
+    return P.duplicate_summary(s.doc_components()).select("documents", "groups", "duplicated", r6("percent"))
+
+
+# Documents -------------------------------------------------------------------------------------
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE), "SELECT doc_id, array_to_string(list(cluster ORDER BY cluster), ',') AS clusters FROM dc GROUP BY doc_id"))
+def doc_cluster_sets(s: Shared) -> DataFrame:
+    return jaccard.cluster_sets(s.dc()).select("doc_id", F.array_join(F.col("clusters").cast("array<string>"), ",").alias("clusters"))
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE), "SELECT cluster, count(*) AS n_docs, array_to_string(list(doc_id ORDER BY doc_id), ',') AS docs FROM dc GROUP BY cluster"))
+def inverted_index(s: Shared) -> DataFrame:
+    return jaccard.inverted_index(s.dc()).select("cluster", "n_docs", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE), "SELECT doc_a, doc_b, shared FROM shared"))
+def shared_counts(s: Shared) -> DataFrame:
+    return jaccard.shared_counts(s.dc())
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE), "SELECT doc_a, doc_b, shared, round(jaccard, 6) AS jaccard FROM doc_pairs"))
+def doc_jaccard(s: Shared) -> DataFrame:
+    return s.doc_pairs().select("doc_a", "doc_b", "shared", r6("jaccard"))
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE, FAN_OUT), "SELECT doc_a, doc_b, shared, round(jaccard, 6) AS jaccard FROM doc_pairs"))
+def doc_jaccard_capped(s: Shared) -> DataFrame:
+    return s.doc_pairs(FAN_OUT).select("doc_a", "doc_b", "shared", r6("jaccard"))
+
+
+BINS = [0, 0.1, 0.2, 0.3, 0.5, 0.7, 1.01]
+
+
+def _histogram_sql(right: bool) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT {i}::INT AS bin, count(*) FILTER ({f'jaccard > {a} AND jaccard <= {b}' if right else f'jaccard >= {a} AND jaccard < {b}'}) AS n, count(*) AS total FROM doc_pairs" for i, (a, b) in enumerate(zip(BINS, BINS[1:], strict=False))
+    )
+    return O.with_(O.document_pairs(CFG, T_LINE), f"SELECT bin, n, round(100.0 * n / total, 6) AS percent FROM ({rows})")
+
+
+@query(_histogram_sql(True))
+def jaccard_histogram_right_closed(s: Shared) -> DataFrame:
+    return jaccard.histogram(s.doc_pairs(), "jaccard", BINS, True).select("bin", "n", r6("percent"))
+
+
+@query(_histogram_sql(False))
+def jaccard_histogram_left_closed(s: Shared) -> DataFrame:
+    return jaccard.histogram(s.doc_pairs(), "jaccard", BINS, False).select("bin", "n", r6("percent"))
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE), "SELECT " + ", ".join(f"round(quantile_cont(jaccard, {p / 100}), 6) AS p{p}" for p in (1, 5, 20, 30, 50, 90, 95, 99)) + " FROM doc_pairs"))
+def jaccard_percentiles(s: Shared) -> DataFrame:
+    row = sweep.percentiles(s.doc_pairs(), "jaccard", [1, 5, 20, 30, 50, 90, 95, 99])
+    return row.select(*[r6(c) for c in row.columns])
+
+
+@query(O.with_(O.document_pairs(CFG, T_LINE), O.grid("SELECT jaccard AS sim FROM doc_pairs", 5, 95, 15, 3, 0.05, 0.99)))
+def threshold_grid(s: Shared) -> DataFrame:
+    return sweep.threshold_grid(s.doc_pairs(), "jaccard", 5, 95, 15, 3, 0.05, 0.99)
+
+
+# Evaluation ------------------------------------------------------------------------------------
+
+TRUTH = ",\ntruth AS (SELECT line_id AS node, min(line_id) OVER (PARTITION BY clean) AS cluster FROM prep)"
+
+
+def _evaluate_sql(pred: str, least: int) -> str:
+    """One row from ``pred(node, cluster)`` and ``truth``."""
+    return f"""SELECT perfect AS perfect_clusters, np AS predicted_clusters, ng AS gt_clusters, round(perfect::DOUBLE / ng, 6) AS recall, round(perfect::DOUBLE / np, 6) AS precision,
+  round(CASE WHEN perfect = 0 THEN 0 ELSE 2.0 * perfect / (np + ng) END, 6) AS f1 FROM (SELECT
+  (SELECT count(*) FROM (SELECT list(node ORDER BY node) AS m FROM {pred} GROUP BY cluster HAVING count(*) >= {least} INTERSECT SELECT list(node ORDER BY node) FROM truth GROUP BY cluster)) AS perfect,
+  (SELECT count(*) FROM (SELECT cluster FROM {pred} GROUP BY cluster HAVING count(*) >= {least})) AS np,
+  (SELECT count(*) FROM (SELECT cluster FROM truth GROUP BY cluster HAVING count(*) >= {least})) AS ng)"""
+
+
+PRED = ",\npred AS (SELECT node, component AS cluster FROM clusters)"
+_EVAL = ["perfect_clusters", "predicted_clusters", "gt_clusters"]
+
+
+def _predicted(s: Shared, t: float = T_LINE, cfg: MinHash = CFG) -> DataFrame:
+    return s.clusters(t, cfg).withColumnRenamed("component", "cluster")
+
+
+def _rounded(row: DataFrame) -> DataFrame:
+    return row.select(*[c for c in row.columns if c not in ("recall", "precision", "f1")], r6("recall"), r6("precision"), r6("f1"))
+
+
+@query(O.with_(O.clusters(CFG, T_LINE) + TRUTH + PRED, "SELECT min(a.n) AS pred, min(a.n) AS gt, max(len(a.m)) AS size FROM (SELECT min(node) AS n, list(node ORDER BY node) AS m FROM pred GROUP BY cluster) a JOIN (SELECT list(node ORDER BY node) AS m FROM truth GROUP BY cluster) b ON a.m = b.m GROUP BY a.m"))
+def perfect_clusters(s: Shared) -> DataFrame:
+    return evaluation.perfect_clusters(_predicted(s), s.truth())
+
+
+@query(O.with_(O.clusters(CFG, T_LINE) + TRUTH + PRED, _evaluate_sql("pred", 1)))
+def precision_recall(s: Shared) -> DataFrame:
+    return _rounded(evaluation.evaluate(_predicted(s), s.truth()))
+
+
+@query(O.with_(O.clusters(CFG, T_LINE) + TRUTH + PRED, _evaluate_sql("pred", 2)))
+def f1_multi(s: Shared) -> DataFrame:
+    return _rounded(evaluation.evaluate(_predicted(s), s.truth(), least=2))
+
+
+GRID = [(4, t) for t in (0.4, 0.6, 0.8)]
+
+
+def _grid_ctes() -> str:
+    ctes = O.candidates(CFG) + TRUTH
+    for k, t in GRID:
+        n = f"g{k}_{int(t * 10)}"
+        ctes += O.components("SELECT rep AS node FROM reps", f"SELECT src, dst FROM rep_pairs WHERE sim >= {t}", n)
+        ctes += f",\np_{n} AS (SELECT line_id AS node, component AS cluster FROM members JOIN {n} ON rep = {n}.node)"
+    rows = " UNION ALL ".join(f"SELECT {k}::INT AS k, {t}::DOUBLE AS threshold, * FROM ({_evaluate_sql(f'p_g{k}_{int(t * 10)}', 1)})" for k, t in GRID)
+    return ctes + f",\ntable_ AS ({rows})"
+
+
+def _grid(s: Shared) -> DataFrame:
+    rows = [_rounded(evaluation.evaluate(_predicted(s, t, replace(CFG, k=k)), s.truth()).select(F.lit(k).alias("k"), F.lit(t).alias("threshold"), "*")) for k, t in GRID]
+    return s.kept("grid", lambda: P._union(rows), CFG, tuple(GRID))
+
+
+@query(O.with_(_grid_ctes(), "SELECT * FROM table_"))
+def grid_search_table(s: Shared) -> DataFrame:
+    return _grid(s)
+
+
+@query(O.with_(_grid_ctes(), "SELECT * FROM table_ ORDER BY recall DESC, k, threshold LIMIT 1"))
+def best_config(s: Shared) -> DataFrame:
+    return sweep.best(_grid(s), "recall", ["k", "threshold"])
+
+
+@query(O.with_(_grid_ctes(), 'SELECT threshold, max(recall) FILTER (k = 4) AS k4 FROM table_ GROUP BY threshold'))
+def pivot_heatmap_recall(s: Shared) -> DataFrame:
+    return pivot_heatmap(_grid(s), "recall").withColumnRenamed("4", "k4")
+
+
+@query(O.with_(_grid_ctes(), "SELECT b.threshold AS value, b.threshold = t.lo OR b.threshold = t.hi AS at_edge FROM (SELECT * FROM table_ ORDER BY recall DESC, k, threshold LIMIT 1) b, (SELECT min(threshold) AS lo, max(threshold) AS hi FROM table_) t"))
+def edge_warning(s: Shared) -> DataFrame:
+    return sweep.at_edge(_grid(s), sweep.best(_grid(s), "recall", ["k", "threshold"]), "threshold")
+
+
+# Vectors ---------------------------------------------------------------------------------------
+
+_KNN = O.KNN.format(k=KNN.k)
+_EDGES = _KNN + ",\nedges AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(sim) AS sim FROM knn GROUP BY least(src, dst), greatest(src, dst))"
+T_KNN = 0.4
+
+
+@query("SELECT vec_id, i::INT AS i, round(v[i + 1] / greatest(sqrt(list_dot_product(v, v)), 1e-8), 6) AS x FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, unnest(range(len(embedding))) AS i FROM embeddings)")
+def l2_normalize(s: Shared) -> DataFrame:
+    return s.unit().select("vec_id", F.posexplode(vectors.l2_normalize("embedding")).alias("i", "x")).select("vec_id", "i", r6("x"))
+
+
+@query("SELECT i::INT AS dim, round(avg(x), 6) AS mean FROM (SELECT unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY i")
+def center_mean(s: Shared) -> DataFrame:
+    return vectors.mean_vector(s.unit(), "embedding").select("dim", r6("mean"))
+
+
+@query(f"WITH {_KNN} SELECT src, dst, round(sim, 6) AS sim, rank::INT AS rank FROM knn")
+def cosine_pairs_topk(s: Shared) -> DataFrame:
+    return s.knn().select("src", "dst", r6("sim"), "rank")
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, round(sim, 6) AS sim FROM edges")
+def knn_edges(s: Shared) -> DataFrame:
+    return vectors.knn_edges(s.knn()).select("src", "dst", r6("sim"))
+
+
+@query(O.with_(_EDGES + O.components("SELECT vec_id AS node FROM unit", f"SELECT src, dst FROM edges WHERE sim >= {T_KNN}"), "SELECT node, component FROM comp"))
+def knn_graph_clusters(s: Shared) -> DataFrame:
+    return label_components(s.unit().select(F.col("vec_id").alias("node")), vectors.knn_edges(s.knn()).where(F.col("sim") >= T_KNN), s.scratch)
+
+
+@query(f"WITH {_KNN} " + O.grid("SELECT sim FROM knn WHERE sim > 0", 50, 99, 10, 4))
+def knn_threshold_grid(s: Shared) -> DataFrame:
+    return sweep.threshold_grid(s.knn().where("sim > 0"), "sim", 50, 99, 10, 4)
+
+
+KTS = (0.38, 0.42, 0.46)
+
+
+def _knn_sweep_sql() -> str:
+    ctes, rows = _EDGES, []
+    for t in KTS:
+        n = f"k{int(t * 100)}"
+        ctes += O.components("SELECT vec_id AS node FROM unit", f"SELECT src, dst FROM edges WHERE sim >= {t}", n)
+        rows.append(f"SELECT {t}::DOUBLE AS threshold, count(*) AS n_clusters, count(*) FILTER (z >= 2) AS n_multi, max(z) AS max_size FROM (SELECT count(*) AS z FROM {n} GROUP BY component)")
+    return O.with_(ctes, " UNION ALL ".join(rows))
+
+
+@query(_knn_sweep_sql())
+def cosine_threshold_sweep(s: Shared) -> DataFrame:
+    forest = s.kept("knn_forest", lambda: maximum_spanning_forest(vectors.knn_edges(s.knn()), s.scratch), KNN)
+    nodes = s.unit().select(F.col("vec_id").alias("node"))
+    return P._union([metrics.size_summary(clusters_at(nodes, forest, t, scratch=s.scratch)).select(F.lit(t).alias("threshold"), "n_clusters", "n_multi", "max_size") for t in KTS])
+
+
+@query()
+def abtt_global(s: Shared) -> DataFrame:
+    return vectors.all_but_the_top(s.unit(), 10)
+
+
+@query()
+def abtt_per_source(s: Shared) -> DataFrame:
+    return vectors.all_but_the_top_per_source(s.unit(), KNN.abtt_source)
+
+
+@query()
+def ivf_knn(s: Shared) -> DataFrame:
+    return vectors.knn_ivf(s.unit(), KNN.k, KNN.cells, KNN.probes)
+
+
+# Internal quality ------------------------------------------------------------------------------
+
+Q = Quality(pairs=500)
+
+
+def _sim(a, b):
+    return minhash.similarity(a, b, CFG.perms)
+
+
+def _values(s: Shared) -> DataFrame:
+    return s.sigs().select(F.col("line_id").alias("node"), "sig")
+
+
+def _ranked(s: Shared) -> DataFrame:
+    return s.kept("ranked", lambda: metrics.ranked_items(s.prep.select("line_id", "doc_id").join(s.sigs(), "line_id"), "line_id", s.scratch))
+
+
+def _members(s: Shared) -> DataFrame:
+    return s.kept("numbered", lambda: metrics.numbered_members(s.clusters(), s.scratch), CFG, T_LINE)
+
+
+SIM = f"list_sum(list_transform(range(1, {CFG.perms + 1}), lambda i: CASE WHEN s1[i] = s2[i] THEN 1 ELSE 0 END)) / {CFG.perms}.0"
+SIZES = ",\nsz AS (SELECT component, count(*) AS size FROM clusters GROUP BY component)"
+NSR = "(sum(size) FILTER (size >= 2))::DOUBLE / sum(size)"
+
+
+@query(O.with_(O.clusters(CFG, T_LINE) + SIZES, f"SELECT sum(size)::BIGINT AS n, count(*) AS n_clusters, count(*) FILTER (size >= 2) AS n_multi, (sum(size) FILTER (size >= 2))::BIGINT AS clustered, max(size) AS max_size, round({NSR}, 6) AS nsr FROM sz"))
+def nsr(s: Shared) -> DataFrame:
+    row = metrics.size_summary(s.clusters())
+    return row.select("n", "n_clusters", "n_multi", "clustered", "max_size", r6("nsr"))
+
+
+@query(O.with_(O.clusters(CFG, T_LINE) + SIZES, f"SELECT round(least(1.0, greatest(0.0, 1 - (({NSR}) - 0.325) * (({NSR}) - 0.325) / 0.275 / 0.275)), 6) AS nsr_peaked FROM sz"))
+def nsr_peaked(s: Shared) -> DataFrame:
+    return metrics.size_summary(s.clusters()).select(F.round(metrics.nsr_peaked(F.col("nsr"), 0.05, 0.60), 6).alias("nsr_peaked"))
+
+
+@query(O.with_(O.candidates(CFG), f"""SELECT round((x.s + y.s) / (x.w + y.w), 6) AS intra FROM
+  (SELECT sum(m * (m - 1) / 2.0 * {CFG.bands}) AS w, sum(m * (m - 1) / 2.0 * {CFG.bands}) AS s FROM reps) x,
+  (SELECT sum(a.m * b.m * n_shared_bands)::DOUBLE AS w, sum(a.m * b.m * n_shared_bands * sim) AS s FROM rep_pairs JOIN reps a ON a.rep = src JOIN reps b ON b.rep = dst WHERE sim >= {T_LINE}) y"""))
+def intra_sim(s: Shared) -> DataFrame:
+    return lsh.intra_similarity(s.reps(), s.pairs(), T_LINE, CFG).select(r6("intra"))
+
+
+NUMBERED = O.clusters(CFG, T_LINE) + SIZES + """,
+numbered AS (SELECT component, size, row_number() OVER (ORDER BY component) - 1 AS c FROM sz WHERE size >= 2),
+mem AS (SELECT c, size, node, row_number() OVER (PARTITION BY component ORDER BY node) - 1 AS at FROM clusters JOIN numbered USING (component)),
+val AS (SELECT line_id AS node, sig FROM sigs)"""
+
+
+def _pairs_sql(name: str, n: str, count: int, seed: str) -> str:
+    i, j = (f"{O.hash32(repr(seed), repr(x), 'pair::VARCHAR')} % {n}" for x in ("a", "b"))
+    return f"{name} AS (SELECT pair, i, CASE WHEN i = j THEN (j + 1) % {n} ELSE j END AS j FROM (SELECT pair, {i} AS i, {j} AS j FROM (SELECT unnest(range({count})) AS pair)))"
+
+
+INTER = NUMBERED + ",\n" + _pairs_sql("rp", "(SELECT max(c) + 1 FROM mem)", 500, "inter42") + f""",
+inter AS (SELECT avg({SIM}) AS inter FROM (SELECT pair, v1.sig AS s1, v2.sig AS s2 FROM rp
+  JOIN numbered n1 ON n1.c = i JOIN numbered n2 ON n2.c = j
+  JOIN mem m1 ON m1.c = i AND m1.at = {O.hash32("'memberi42'", "pair::VARCHAR")} % n1.size
+  JOIN mem m2 ON m2.c = j AND m2.at = {O.hash32("'memberj42'", "pair::VARCHAR")} % n2.size
+  JOIN val v1 ON v1.node = m1.node JOIN val v2 ON v2.node = m2.node))"""
+
+
+@query(O.with_(INTER, "SELECT round(inter, 6) AS inter FROM inter"))
+def inter_sim(s: Shared) -> DataFrame:
+    return metrics.inter_similarity(_members(s), _values(s), "sig", _sim, Q.pairs).select(r6("inter"))
+
+
+SPREAD = f""",
+draw AS (SELECT c, size, p, x, CASE WHEN x = y THEN (y + 1) % size ELSE y END AS y FROM (SELECT c, size, p, {O.hash32("'spreadx42'", "c::VARCHAR", "p::VARCHAR")} % size AS x, {O.hash32("'spready42'", "c::VARCHAR", "p::VARCHAR")} % size AS y
+  FROM (SELECT c, size, unnest(range(least(50, size * (size - 1) // 2))) AS p FROM numbered WHERE c < {Q.clusters}))),
+spread AS (SELECT c, 1 - avg({SIM}) AS spread FROM (SELECT draw.c, v1.sig AS s1, v2.sig AS s2 FROM draw JOIN mem m1 ON m1.c = draw.c AND m1.at = x JOIN mem m2 ON m2.c = draw.c AND m2.at = y JOIN val v1 ON v1.node = m1.node JOIN val v2 ON v2.node = m2.node) GROUP BY c)"""
+
+
+def _spread(s: Shared) -> DataFrame:
+    return s.kept("spread", lambda: metrics.spreads(_members(s), _values(s), "sig", _sim, Q.clusters), CFG, T_LINE)
+
+
+@query(O.with_(NUMBERED + SPREAD, "SELECT c, round(spread, 6) AS spread FROM spread"))
+def cluster_spread(s: Shared) -> DataFrame:
+    return _spread(s).select("c", r6("spread"))
+
+
+DBI = f""",
+ratio AS (SELECT i, j, (si + sj) / greatest(1 - {SIM}, 1e-6) AS r FROM (SELECT a.c AS i, b.c AS j, a.spread AS si, b.spread AS sj, v1.sig AS s1, v2.sig AS s2 FROM spread a JOIN spread b ON a.c < b.c
+  JOIN numbered n1 ON n1.c = a.c JOIN numbered n2 ON n2.c = b.c
+  JOIN mem m1 ON m1.c = a.c AND m1.at = {O.hash32("'dbii42'", "a.c::VARCHAR", "b.c::VARCHAR")} % n1.size
+  JOIN mem m2 ON m2.c = b.c AND m2.at = {O.hash32("'dbij42'", "a.c::VARCHAR", "b.c::VARCHAR")} % n2.size
+  JOIN val v1 ON v1.node = m1.node JOIN val v2 ON v2.node = m2.node)),
+dbi AS (SELECT avg(r) AS dbi FROM (SELECT c, max(r) AS r FROM (SELECT i AS c, r FROM ratio UNION ALL SELECT j, r FROM ratio) GROUP BY c))"""
+
+
+@query(O.with_(NUMBERED + SPREAD + DBI, "SELECT round(dbi, 4) AS dbi, round(1 / (1 + dbi), 6) AS dbi_score FROM dbi"))
+def dbi_proxy(s: Shared) -> DataFrame:
+    row = metrics.dbi(_spread(s), _members(s), _values(s), "sig", _sim)
+    return row.select(F.round("dbi", 4).alias("dbi"), r6("dbi_score"))
+
+
+_INTRA_SQL = f"""(SELECT (x.s + y.s) / (x.w + y.w) AS intra FROM (SELECT sum(m * (m - 1) / 2.0 * {CFG.bands}) AS w, sum(m * (m - 1) / 2.0 * {CFG.bands}) AS s FROM reps) x,
+  (SELECT sum(a.m * b.m * n_shared_bands)::DOUBLE AS w, sum(a.m * b.m * n_shared_bands * sim) AS s FROM rep_pairs JOIN reps a ON a.rep = src JOIN reps b ON b.rep = dst WHERE sim >= {T_LINE}) y)"""
+
+
+def _metrics_row(s: Shared) -> DataFrame:
+    intra = lsh.intra_similarity(s.reps(), s.pairs(), T_LINE, CFG)
+    return s.kept("metrics", lambda: metrics.clustering_metrics(s.clusters(), intra, _values(s), "sig", _sim, s.scratch, Q), CFG, T_LINE)
+
+
+@query(O.with_(INTER, f"SELECT round(intra / (intra + inter + 1e-12), 6) AS sil FROM {_INTRA_SQL}, inter"))
+def silhouette_proxy(s: Shared) -> DataFrame:
+    return _metrics_row(s).select(r6("sil"))
+
+
+DENSITY = O.signatures(CFG) + ",\nranked AS (SELECT line_id, doc_id, sig, row_number() OVER (ORDER BY line_id) - 1 AS idx FROM sigs JOIN prep USING (line_id)),\n"
+
+
+@query(O.with_(DENSITY + _pairs_sql("rp", "(SELECT count(*) FROM ranked)", 2000, "42") + f", s AS (SELECT {SIM} AS sim FROM (SELECT a.sig AS s1, b.sig AS s2 FROM rp JOIN ranked a ON a.idx = i JOIN ranked b ON b.idx = j))", "SELECT round(avg(sim), 6) AS mean, quantile_cont(sim, 0.5) AS p50, quantile_cont(sim, 0.9) AS p90, avg((sim > 0.05)::INT) AS nonzero, avg((sim > 0.05)::INT) > 0.30 OR quantile_cont(sim, 0.5) > 0.15 AS dense FROM s"))
+def corpus_density(s: Shared) -> DataFrame:
+    return metrics.corpus_density(_ranked(s), "sig", _sim).select(r6("mean"), "p50", "p90", "nonzero", "dense")
+
+
+@query()
+def data_driven_thresholds(s: Shared) -> DataFrame:
+    return metrics.data_driven_thresholds(_ranked(s), "sig", _sim)
+
+
+WB = DENSITY + _pairs_sql("rp", "(SELECT count(*) FROM ranked)", 1000, "between42") + f""",
+adj AS (SELECT line_id AS a, lead(line_id) OVER (PARTITION BY doc_id ORDER BY line_id) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY line_id) AS nth FROM prep),
+w AS (SELECT avg({SIM}) AS w FROM (SELECT x.sig AS s1, y.sig AS s2 FROM adj JOIN sigs x ON x.line_id = a JOIN sigs y ON y.line_id = b WHERE nth <= 10)),
+b AS (SELECT avg({SIM}) AS b FROM (SELECT x.sig AS s1, y.sig AS s2 FROM rp JOIN ranked x ON x.idx = i JOIN ranked y ON y.idx = j WHERE x.doc_id <> y.doc_id ORDER BY pair LIMIT 500))"""
+
+
+@query(O.with_(WB, "SELECT round(w, 6) AS within, round(b, 6) AS between, round(w / (w + b + 1e-9), 6) AS within_between FROM w, b"))
+def within_between(s: Shared) -> DataFrame:
+    return metrics.within_between(s.prep, _ranked(s), "sig", _sim).select(r6("within"), r6("between"), r6("within_between"))
+
+
+@query(O.with_(O.clusters(CFG, T_LINE) + SIZES, f"SELECT count(*) < 3 OR {NSR} > 0.85 OR max(size) > 0.6 * sum(size) AS degenerate FROM sz"))
+def degenerate_flag(s: Shared) -> DataFrame:
+    row = metrics.size_summary(s.clusters())
+    return row.select(filters.degenerate(F.col("n_clusters"), F.col("nsr"), F.col("max_size"), F.col("n")).alias("degenerate"))
+
+
+@query()
+def composite(s: Shared) -> DataFrame:
+    return P.line_quality(s.prep, s.sigs(), CFG, T_LINE, s.scratch, Quality(pairs=500, runs=2), with_stability=False).select("k", "threshold", "dbi_score", "sil", "nsr_peaked", "within_between", "stability", "degenerate", "composite")
+
+
+@query()
+def stability(s: Shared) -> DataFrame:
+    q = Quality(runs=2)
+    value = metrics.stability(s.sigs(), "line_id", lambda part: lsh.line_edges(part, CFG).where(F.col("sim") >= T_LINE), s.scratch, q)
+    return s.spark.range(1).select(F.lit(float(value)).alias("stability"))
+
+
+@query()
+def document_metrics(s: Shared) -> DataFrame:
+    pairs = s.doc_pairs().select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"), F.col("jaccard").alias("sim"))
+    docs = s.dc().select(F.col("doc_id").alias("node")).distinct()
+    return metrics.document_metrics(docs, pairs, maximum_spanning_forest(pairs, s.scratch), T_DOC, s.scratch)
+
+
+@query()
+def apply_best_config(s: Shared) -> DataFrame:
+    """The application pipeline from end to end, without shared steps: document pairs."""
+    return P.find_duplicates(s.prep, CFG, Apply(T_LINE, T_DOC, FAN_OUT))[0]

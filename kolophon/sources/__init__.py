@@ -1 +1 @@
-
+"""Readers, caches and sinks."""
