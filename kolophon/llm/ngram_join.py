@@ -37,8 +37,11 @@ LOCAL_OFTEN, OFTEN = 6, 1 << 17
 #: Documents of a bucket with which all others are compared first.
 HUBS = 3
 
-_SIG = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-_SIG_SQL = "kind int, doc_id long, n long, s1 long, s2 long"
+#: Columns of 64 bits each that hold a set's bitmap.
+MAP = [f"b{i}" for i in range(16)]
+
+_SIG = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n", "s1", "s2", *MAP))])
+_SIG_SQL = "kind int, " + ", ".join(f"{c} long" for c in ("doc_id", "n", "s1", "s2", *MAP))
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -65,6 +68,13 @@ def _signature(h: np.ndarray) -> tuple[int, int]:
     return int(signed(mix(h).sum(keepdims=True))[0]), int(signed(np.bitwise_xor.reduce(mix(h ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True))[0])
 
 
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    """A bit for each value of ten bits of the hashes."""
+    bits = np.zeros(64 * len(MAP), bool)
+    bits[(h >> np.uint64(20)).astype(np.int64) & (len(bits) - 1)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _often(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Shingles that are frequent in what a mapper has gathered, with their counts."""
     if gathered:
@@ -73,7 +83,7 @@ def _often(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         n = np.diff(np.append(at, len(h)))
         keep = n >= LOCAL_OFTEN
         z = np.zeros(int(keep.sum()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (z.astype(np.int32) + 1, signed(h[at][keep]), n[keep], z, z)], schema=_SIG)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (z.astype(np.int32) + 1, signed(h[at][keep]), n[keep], *[z] * (2 + len(MAP)))], schema=_SIG)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -84,6 +94,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         sig = [_signature(h) for h in sets]
         rows = [np.zeros(len(sets), np.int32), None, np.array([len(h) for h in sets], np.int64), np.array([x for x, _ in sig], np.int64), np.array([y for _, y in sig], np.int64)]
         rows[1] = batch.column("doc_id")
+        rows += list(np.array([_bitmap(h) for h in sets]).reshape(-1, len(MAP)).T.copy())
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows], schema=_SIG)
         gathered += sets
         held += sum(map(len, sets))
@@ -223,7 +234,8 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
 
     labelled = shared.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k", "doc", "n", F.coalesce("component", "doc").alias("comp"))
     open_k = labelled.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-    left = scratch.save(labelled.join(open_k, "k", "left_semi"), "open")
+    maps = first.where("kind = 0").join(reps, ["doc_id", "n", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("doc"), *MAP).dropDuplicates(["doc"])
+    left = scratch.save(labelled.join(open_k, "k", "left_semi").join(maps, "doc"), "open")
     rest = scratch.save(_pairs(left, left, percent, across=True).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     final = comps
     if not rest.isEmpty():
@@ -251,12 +263,17 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, across: bool = False
     Of two prefixes one ends first in the global order. What the sets share up to there is in
     both prefixes, and so counted here; beyond it, at most the rest of that set is shared.
     """
-    extra = ["comp"] if across else []
+    extra = ["comp", *MAP] if across else []
     a = left.select("k", *[F.col(c).alias(f"{c}_1") for c in ("doc", "n", *extra)])
     b = right.select("k", *[F.col(c).alias(f"{c}_2") for c in ("doc", "n", *extra)])
     j = a.join(b, "k").where("doc_1 < doc_2 AND comp_1 != comp_2" if across else "doc_1 != doc_2")
     j = j.where(f"{percent} * greatest(n_1, n_2) <= 100 * least(n_1, n_2)")
     swap = F.col("doc_1") > F.col("doc_2")
+    if across:
+        # A bit that only one set has stands for a member, or more, that the other lacks.
+        for x, y in (("1", "2"), ("2", "1")):
+            lacks = " + ".join(f"bit_count({c}_{x} & ~{c}_{y})" for c in MAP)
+            j = j.where(f"(100 + {percent}) * (n_{x} - ({lacks})) >= {percent} * (n_1 + n_2)")
     if not across:  # two hubs of a bucket meet in both directions
         j = j.select(
             "k",
