@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kolophon.llm import oracles
 from kolophon.llm.embedding_dedup import embedding_near_dedup
 from kolophon.llm.fingerprints import fingerprint_documents
 from kolophon.llm.html_extraction import extract_main_text
@@ -86,4 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_join": oracles.NGRAM_JOIN,
+    "op6_line_dedup": oracles.LINE_DEDUP,
+    "op9_substring_dedup": oracles.SUBSTRINGS,
+    "op10_embedding_near_dedup": oracles.EMBEDDINGS,
+}
