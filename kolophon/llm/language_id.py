@@ -13,6 +13,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ UNKNOWN = "und"
 FIT_ROWS = 12_000
 #: So many n-grams are kept: those counted most often.
 VOCABULARY = 60_000
-#: Longest n-gram; a word is bounded by one blank on each side.
-ORDER = 4
+#: Lengths of n-grams; a word is bounded by one blank on each side.
+ORDERS = (2, 3)
 #: Added to each n-gram's count.
 SMOOTH = 0.5
 #: What a switch of language costs, and the most by which one word favours a language.
@@ -36,7 +37,7 @@ SWITCH, CLIP = 8.0, 6.0
 #: A language uses a script if that has this share of its letters.
 SCRIPT_SHARE = 0.005
 #: Words whose scores a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 
 # First code points of Unicode script ranges.
 SCRIPTS = [
@@ -60,7 +61,7 @@ def script(word: str) -> str:
 
 def grams(word: str) -> list[str]:
     w = f" {word} "
-    return [w[i : i + n] for n in range(1, ORDER + 1) for i in range(len(w) - n + 1)]
+    return [w[i : i + n] for n in ORDERS for i in range(len(w) - n + 1)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,26 +105,45 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 
 class _Scores(dict):
-    """Row number of each word's scores."""
+    """Numbers of words; the scores of new ones are worked out together, by `settle`."""
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.lengths, self.known = model, [], [], []
+        self.model = model
+        self.new: list[str] = []
+        self.rows = np.empty((1 << 16, len(model.langs)), np.float32)
+        self.lengths = np.empty(1 << 16, np.int32)
+        self.known = np.empty(1 << 16, bool)
+        self.index = dict(model.index)
+        self.weights = model.weights.astype(np.float32)
 
     def __missing__(self, word: str) -> int:
-        m, get = self.model, self.model.index.get
-        use = m.scripts.get(script(word))
-        if use is None:
-            score = np.zeros(len(m.langs))
-        else:
-            unseen = len(m.index)
-            score = m.weights[[get(g, unseen) for g in grams(word)]].sum(axis=0)
-            score = np.where(use, np.maximum(score - score[use].max(), -CLIP), -CLIP)
-        self[word] = at = len(self.rows)
-        self.rows.append(score)
-        self.lengths.append(len(word))
-        self.known.append(use is not None)
+        self[word] = at = len(self)
+        self.new.append(word)
         return at
 
+    def settle(self) -> None:
+        m, new = self.model, self.new
+        if not new:
+            return
+        while len(self.rows) < len(self):
+            self.rows, self.lengths, self.known = (np.concatenate([x, np.empty_like(x)]) for x in (self.rows, self.lengths, self.known))
+        at = slice(len(self) - len(new), len(self))
+        get, unseen = self.index.get, len(m.index)
+        found = [[get(g, unseen) for g in grams(w)] for w in new]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        score = np.add.reduceat(self.weights[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))], np.cumsum(sizes) - sizes, axis=0)
+        kinds: dict[str, int] = {}
+        kind = np.fromiter((kinds.setdefault(script(w), len(kinds)) for w in new), np.int64, len(new))
+        none = np.zeros(len(m.langs), bool)
+        use = np.array([m.scripts.get(k, none) for k in kinds])[kind]
+        top = np.where(use, score, -np.inf).max(axis=1, keepdims=True)
+        some = use.any(axis=1)
+        score = np.where(use, np.maximum(score - np.where(some[:, None], top, 0), -CLIP), -CLIP)
+        self.rows[at] = np.where(some[:, None], score, 0)
+        self.lengths[at] = np.fromiter(map(len, new), np.int64, len(new))
+        self.known[at] = some
+        self.new = []
+
 
 def viterbi(emissions: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
     """The best state of each word. ``emissions``: of the words of one text after another; texts go in step."""
@@ -187,8 +207,8 @@ class _Predictor:
         if not k or not len(flat):
             return [pa.array([UNKNOWN] * size, pa.string()), pa.array(np.zeros(size)), pa.array([[]] * size, pa.list_(_SPAN))]
         doc = np.repeat(np.arange(size), n)
-        e = np.array(self.scores.rows)[flat]
-        letters, known = np.array(self.scores.lengths, float)[flat], np.array(self.scores.known)[flat]
+        self.scores.settle()
+        e, letters, known = self.scores.rows[flat], self.scores.lengths[flat].astype(float), self.scores.known[flat]
         path = viterbi(e, n, self.switch).astype(np.int64)
         held = np.bincount(doc * k + path, weights=letters * known, minlength=size * k).reshape(-1, k)
         alone = np.stack([np.bincount(doc, weights=e[:, s], minlength=size) for s in range(k)], axis=1)
