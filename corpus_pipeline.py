@@ -17,7 +17,7 @@ from kolophon.llm.packing import best_fit_packing
 from kolophon.runtime import Scratch, ship_package
 
 #: A text is rejected if less than this share of its letters is labelled, or if the label is as unsure.
-LEAST_SCORE = 0.25
+LEAST_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
