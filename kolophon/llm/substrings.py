@@ -58,7 +58,12 @@ def _rows(w: Words, texts: np.ndarray, at: list[np.ndarray], docs: np.ndarray, s
     return k, k2, np.repeat(docs[texts], sizes), pos, np.repeat(sig[texts], sizes)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _mark(sig: np.ndarray, unique: bool) -> np.ndarray:
+    """What tells the texts of one doc_id apart: nothing has to where each has one text."""
+    return np.zeros_like(sig) if unique else sig
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], window: int, unique: bool) -> Iterator[pa.RecordBatch]:
     width = window - PERIOD + 1
     cover = np.array(COVER, np.int64)
     parts, held = [], 0
@@ -71,7 +76,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         for n in w.counts()[texts].tolist():
             pos = (np.arange(0, n - width + 1, PERIOD)[:, None] + cover).ravel()
             at.append(pos[pos <= n - width])
-        parts.append(_rows(w, texts, at, docs, sig, width, False))
+        parts.append(_rows(w, texts, at, docs, _mark(sig, unique), width, False))
         held += len(parts[-1][0])
         if held >= repeats.FLUSH:
             yield from repeats.flush(parts)
@@ -79,14 +84,14 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     yield from repeats.flush(parts)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], window: int, unique: bool) -> Iterator[pa.RecordBatch]:
     """All windows that hold a repeated anchor."""
     reach = PERIOD - 1
     parts, held = [], 0
     for batch in slices(batches):
         w = Words(batch.column("text"))
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        sig = _whole(w, 1)
+        sig = _mark(_whole(w, 1), unique)
         count = w.counts()
         texts, at = [], []
         for i, found in enumerate(batch.column("found")):
@@ -107,18 +112,19 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def _own(found: pa.ListScalar, sig: int) -> np.ndarray:
-    """The positions that were found for a text with this signature; a repeated doc_id may have others."""
+    """The positions that were found for a text with this mark; a repeated doc_id may have others."""
     if not found.is_valid:
         return np.empty(0, np.int64)
     n, pos = (found.values.field(i).to_numpy() for i in (0, 1))
     return pos[n == sig]
 
 
-def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], window: int, unique: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         kept, total, removed = [], [], []
         flagged = [x if x.is_valid else None for x in batch.column("found")]
-        sig = _whole(Words(batch.column("text")), 1) if any(flagged) else None
+        if any(flagged):
+            sig = np.zeros(len(flagged), np.int64) if unique else _whole(Words(batch.column("text")), 1)
         for i, (text, found) in enumerate(zip(batch.column("text"), flagged, strict=True)):
             words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
             n, gone = len(words), 0
@@ -162,17 +168,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substring_dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = scratch.save(docs.mapInArrow(_signatures, "doc_id long, n_words long, s1 long, s2 long"), "signatures")
+    total, distinct = sig.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    unique = total == distinct
     long = sig.where(F.col("n_words") >= window).dropna(subset=["doc_id"])
 
     # Copies of a whole document are repeats throughout; the first stands for them.
     first = long.groupBy("n_words", "s1", "s2").agg(F.min("doc_id").alias("first"))
     known = scratch.save(long.join(first, ["n_words", "s1", "s2"]), "copies")
-    copies = known.where("doc_id > first").select(F.col("doc_id").alias("doc"), F.col("s1").alias("n"), F.lit(WHOLE).cast("long").alias("pos")).distinct()
+    copies = known.where("doc_id > first").select(F.col("doc_id").alias("doc"), (F.lit(0).cast("long") if unique else F.col("s1")).alias("n"), F.lit(WHOLE).cast("long").alias("pos")).distinct()
     todo = known.where("doc_id = first").select("doc_id", "s1").distinct()
 
-    anchors = docs.join(todo, "doc_id").mapInArrow(lambda it: _anchors(it, window), repeats.COLUMNS)
+    anchors = docs.join(todo, "doc_id").mapInArrow(lambda it: _anchors(it, window, unique), repeats.COLUMNS)
     found = scratch.save(_per_document(repeats.repeated(anchors, firsts_too=True)), "anchors")
-    wide = docs.join(found, "doc_id").mapInArrow(lambda it: _windows(it, window), repeats.COLUMNS)
+    wide = docs.join(found, "doc_id").mapInArrow(lambda it: _windows(it, window, unique), repeats.COLUMNS)
     later = repeats.repeated(wide, firsts_too=False).select("doc", "n", "pos")
     flagged = scratch.save(_per_document(later.unionByName(copies)), "flagged")
-    return docs.join(flagged, "doc_id", "left").mapInArrow(lambda it: _remove(it, window), "doc_id long, kept_text string, n_words long, n_removed long")
+    return docs.join(flagged, "doc_id", "left").mapInArrow(lambda it: _remove(it, window, unique), "doc_id long, kept_text string, n_words long, n_removed long")
