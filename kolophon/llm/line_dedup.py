@@ -159,5 +159,6 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     text_column = next(c for c in docs.columns if c.lower() == "text")
     out = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     found = found.withColumnRenamed("doc_id", "_found_id")
-    joined = docs.join(found, docs["doc_id"] == found["_found_id"], "left").drop("_found_id")
+    # Never broadcast: what is found grows with the corpus.
+    joined = docs.join(found.hint("merge"), docs["doc_id"] == found["_found_id"], "left").drop("_found_id")
     return joined.mapInArrow(lambda it: _drop(it, text_column, min_chars), out)
