@@ -147,7 +147,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = scratch.save(plain.where("doc_id IS NOT NULL").mapInArrow(lambda it: _keys(it, min_chars), "doc_id long, k1 long, k2 long"), "keys")
     # Bounds of the batches; where they lie changes no result.
-    cuts = sorted(set(keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True)
+    cuts = sorted(set(keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True) if batches > 1 else []
     runs = LineRuns(spark)
     for low, high in zip([*cuts, None], [None, *cuts], strict=True):
         own = keys

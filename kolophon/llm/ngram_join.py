@@ -191,7 +191,8 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
 
     A null or blank text has an empty set and links with nothing. Fewer than ``k`` words are
     one shingle. Rows with a null doc_id get a null component. Rows that repeat a doc_id with
-    other texts are one document in the graph, which links by the largest of their sets.
+    other texts are one document in the graph. Each of its sets links with equal ones, and the
+    largest of those that it is the least document of with different ones.
     An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession

@@ -33,8 +33,8 @@ def test_ngram_join_edges(spark, no_docs):
     assert nj.ngram_join(no_docs).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "zz"), (None, "a b c d e f"), (2, "zz"), (3, "a b c d e f")]
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    # The set of "zz" is not the largest of document 1, so 2 stays alone.
-    assert got == [(0, 2, 0), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 1, 2), (3, 2, 1)]
+    # Document 1 has two sets, and links with the equal one of each.
+    assert got == [(0, 2, 0), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1)]
 
 
 def test_difference_cover():
