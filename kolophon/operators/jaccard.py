@@ -38,6 +38,20 @@ def document_jaccard(dc: DataFrame, fan_out: int | None = None) -> DataFrame:
     return shared_counts(dc, fan_out).join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", "shared", j.alias("jaccard"))
 
 
+def document_links(dc: DataFrame, fan_out: int | None = None) -> DataFrame:
+    """``(doc_a, doc_b, shared, jaccard)`` with the components of `document_jaccard` at each threshold up to 1.
+
+    Documents with equal sets are linked to the least of them, which alone is compared with others. So
+    ``fan_out`` counts different sets, and a text with any number of copies keeps its links.
+    """
+    sets = cluster_sets(dc)
+    reps = sets.groupBy("clusters").agg(F.min("doc_id").alias("rep"))
+    stars = sets.join(reps, "clusters").where("doc_id != rep")
+    alone = dc.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    equal = stars.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.size("clusters").cast("long").alias("shared"), F.lit(1.0).alias("jaccard"))
+    return document_jaccard(alone, fan_out).unionByName(equal)
+
+
 def exact_jaccard(pairs: DataFrame, sets: DataFrame, key: str, values: str) -> DataFrame:
     """Jaccard of two array columns for ``pairs(src, dst)``."""
     a, b = (sets.select(F.col(key).alias(x), F.col(values).alias(f"{x}_set")) for x in ("src", "dst"))

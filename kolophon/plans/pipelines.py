@@ -39,15 +39,21 @@ def _union(rows: list[DataFrame]) -> DataFrame:
 
 
 def find_duplicates(lines: DataFrame, cfg: MinHash, apply: Apply, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply a configuration to prepared lines: (document pairs, document groups, document components)."""
+    """Apply a configuration to prepared lines: (document pairs, document groups, document components).
+
+    The pairs are all those in line clusters of up to ``apply.fan_out`` documents, and the links beyond.
+    """
     scratch = scratch or Scratch(lines.sparkSession, "duplicates")
     sigs = scratch.save(minhash.signatures(lines, cfg), "signatures")
     edges = lsh.line_edges(sigs, cfg).where(F.col("sim") >= apply.line_threshold)
     clusters = label_components(sigs.select(F.col("line_id").alias("node")), edges, scratch)
     dc = scratch.save(jaccard.document_clusters(lines, clusters), "document_clusters")
-    pairs = scratch.save(jaccard.document_jaccard(dc, apply.fan_out).where(F.col("jaccard") >= apply.document_threshold), "pairs")
+    links = scratch.save(jaccard.document_links(dc, apply.fan_out).where(F.col("jaccard") >= apply.document_threshold), "links")
+    found = jaccard.document_jaccard(dc, apply.fan_out).where(F.col("jaccard") >= apply.document_threshold).unionByName(links)
+    # A link may know of clusters that the pair was not made for.
+    pairs = scratch.save(found.groupBy("doc_a", "doc_b").agg(F.max("shared").alias("shared"), F.max("jaccard").alias("jaccard")), "pairs")
     docs = dc.select(F.col("doc_id").alias("node")).distinct()
-    comps = scratch.save(label_components(docs, pairs.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst")), scratch), "documents")
+    comps = scratch.save(label_components(docs, links.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst")), scratch), "documents")
     return pairs, jaccard.duplicate_groups(comps), comps
 
 

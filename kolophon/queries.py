@@ -23,7 +23,7 @@ from kolophon.runtime import Scratch
 from kolophon.sources.tables import TableCache, document_lines, pivot_heatmap, read_table
 
 CFG, RULE = MinHash(), LineFilter()
-T_LINE, T_DOC, FAN_OUT = 0.5, 0.5, 20
+T_LINE, T_DOC, FAN_OUT = 0.5, 0.5, Apply().fan_out
 SAMPLE = Sampling(documents=300)
 KNN = Knn(k=10)
 
@@ -86,8 +86,8 @@ class Shared:
         return self.kept("document_pairs", lambda: jaccard.document_jaccard(self.dc(), fan_out), CFG, T_LINE, fan_out)
 
     def doc_components(self, t: float = T_DOC) -> DataFrame:
-        edges = self.doc_pairs(FAN_OUT).where(F.col("jaccard") >= t).select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"))
-        return self.kept("document_components", lambda: label_components(self.dc().select(F.col("doc_id").alias("node")).distinct(), edges, self.scratch), CFG, T_LINE, t)
+        edges = jaccard.document_links(self.dc(), FAN_OUT).where(F.col("jaccard") >= t).select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"))
+        return self.kept("document_components", lambda: label_components(self.dc().select(F.col("doc_id").alias("node")).distinct(), edges, self.scratch), CFG, T_LINE, t, FAN_OUT)
 
     def truth(self) -> DataFrame:
         least = self.prep.groupBy("clean").agg(F.min("line_id").alias("cluster"))

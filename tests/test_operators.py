@@ -143,6 +143,27 @@ def test_apply_pipeline(spark):
     assert {(r.doc_a, r.doc_b) for r in pairs.collect()} == {(10, 11), (11, 12)}
 
 
+def test_copies_beyond_fan_out_stay_linked(spark):
+    # Five copies, a near copy of them, a text alone; no cluster of the copies is in 3 documents or less.
+    sets = {d: [1, 2, 3] for d in range(10, 15)} | {20: [1, 2, 3, 4], 30: [9]}
+    dc = spark.createDataFrame([(d, c) for d, v in sets.items() for c in v], "doc_id long, cluster long")
+    links = {(r.doc_a, r.doc_b): (r.shared, r.jaccard) for r in jaccard.document_links(dc, 3).collect()}
+    assert links == {(10, d): (3, 1.0) for d in range(11, 15)} | {(10, 20): (3, 0.75)}
+    lines = spark.createDataFrame([(d, d, LINES[0][2]) for d in range(10, 15)] + [(20, 20, LINES[5][2])], "line_id long, doc_id long, clean string")
+    pairs, groups, _ = pipelines.find_duplicates(lines, MinHash(k=3), Apply(0.5, 0.5, 3))
+    assert [(r.group_id, r.members) for r in groups.collect()] == [(10, [10, 11, 12, 13, 14])]
+    assert {(r.doc_a, r.doc_b) for r in pairs.collect()} == {(10, d) for d in range(11, 15)}
+
+
+def test_duplicate_groups_of_many_copies(spark, tmp_path):
+    from kolophon import queries
+
+    rows = [(d, LINES[0][2], "s") for d in range(25)] + [(40, LINES[3][2], "s"), (41, LINES[3][2] + " woes", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["duplicate_groups"](spark, str(tmp_path)).collect()
+    assert (0, 25) in [(r.group_id, r.size) for r in got]
+
+
 def test_labelled_sweep(spark):
     lines = spark.createDataFrame([(*x, g, y) for x, g, y in zip(LINES, [1, 1, 1, 2, 2, 3], ["p", "p", "q", "q", "q", "r"], strict=True)], "line_id long, doc_id long, clean string, idgroup long, type_id string")
     table, docs = pipelines.tune_labelled(lines, [3], [0.5], MinHash())
