@@ -16,17 +16,17 @@ from kolophon.llm.ngram_join import ngram_join
 from kolophon.llm.packing import best_fit_packing
 from kolophon.runtime import Scratch, ship_package
 
-#: A text is rejected if less than this share of its letters is labelled, or if the label is as unsure.
+#: A text is rejected if less than this share of its letters is labelled with any language.
 LEAST_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and those that none of the languages of labelled rows fits.
 
-    A document kept without a language gets the one found.
+    A text in several languages is kept. A document kept without a language gets the one found.
     """
-    found = identify_language(docs, fit(docs), spans=False)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = identify_language(docs, fit(docs), spans=False, known=True)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -205,7 +205,7 @@ class _Predictor:
         n = np.array(counts, np.int64)
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         if not k or not len(flat):
-            return [pa.array([UNKNOWN] * size, pa.string()), pa.array(np.zeros(size)), pa.array([[]] * size, pa.list_(_SPAN))]
+            return [pa.array([UNKNOWN] * size, pa.string()), pa.array(np.zeros(size)), pa.array([[]] * size, pa.list_(_SPAN)), pa.array(np.zeros(size))]
         doc = np.repeat(np.arange(size), n)
         self.scores.settle()
         e, letters, known = self.scores.rows[flat], self.scores.lengths[flat].astype(float), self.scores.known[flat]
@@ -220,7 +220,7 @@ class _Predictor:
         label = np.where(n > 0, self.names[best], UNKNOWN)
         score = np.where(n > 0, share / np.maximum(odds, 1), 0.0)
         spans = _spans(path, n, letters, self.names) if self.spans else [[]] * size
-        return [pa.array(label.tolist(), pa.string()), pa.array(score), pa.array(spans, pa.list_(_SPAN))]
+        return [pa.array(label.tolist(), pa.string()), pa.array(score), pa.array(spans, pa.list_(_SPAN)), pa.array(held.sum(axis=1) / np.maximum(total, 1))]
 
 
 def _spans(path: np.ndarray, n: np.ndarray, letters: np.ndarray, names: np.ndarray) -> list[list[dict]]:
@@ -233,19 +233,22 @@ def _spans(path: np.ndarray, n: np.ndarray, letters: np.ndarray, names: np.ndarr
     return out
 
 
-def identify_language(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = True) -> DataFrame:
+def identify_language(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = True, known: bool = False) -> DataFrame:
     """Add lang_pred, score and spans to ``docs``, which has a column ``text``.
 
     lang_pred is a language of the model; `und`, with score 0, for a text that is null or
     has no letter, or if the model has no language. score, from 0 to 1, is the share of the
     letters that are in spans of that language and in a script that some language uses, times
     the chance of that language as the only one. spans: runs of words (maximal runs of letters)
-    labelled alike, with the number of the first word; empty unless ``spans``. Columns of
-    ``docs`` stay as they are, but for any with these three names, which are replaced. Only
+    labelled alike, with the number of the first word; empty unless ``spans``. With ``known``,
+    a column of this name has the share of the letters that are in spans of any language and
+    in a script that some language uses. Columns of ``docs`` stay as they are, but for any with
+    the names of the new ones, which are replaced. Only
     ``text`` is looked at. Repeated rows are judged alike; an empty table gives an empty result.
     """
     model_ = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY
-    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "spans")]
+    names = ["lang_pred", "score", "spans", *["known"] * known]
+    keep = [c for c in docs.columns if c.lower() not in names]
     schema = docs.select(*[docs[c] for c in keep]).schema
 
     text = next(c for c in keep if c.lower() == "text")
@@ -253,8 +256,8 @@ def identify_language(docs: DataFrame, model: Model, switch: float = SWITCH, spa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _Predictor(model_.value, switch, spans)
         for part in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*part.columns, *predict(part.column(text))], names=[*part.schema.names, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *predict(part.column(text))[: len(names)]], names=[*part.schema.names, *names])
 
     span = T.StructType([T.StructField("lang", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("first_word", "words", "letters")]])
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span)), *[T.StructField("known", T.DoubleType())] * known]
     return docs.select(*[docs[c] for c in keep]).mapInArrow(run, T.StructType([*schema.fields, *new]))

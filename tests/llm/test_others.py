@@ -51,6 +51,21 @@ def test_language_spans_and_edges(spark, model):
     assert identify_language(spark.createDataFrame([], "text string"), model).count() == 0
 
 
+def test_language_stage_keeps_balanced_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(i, speak(rng, lang, 40), lang) for i, lang in enumerate(list(SYLLABLES) * 30)]
+    # Most letters in long words of one language, most words of another.
+    few = lambda: " ".join("".join(rng.choice(SYLLABLES["bb"]) for _ in range(4)) for _ in range(15))
+    many = lambda: " ".join("".join(rng.choice(SYLLABLES["aa"]) for _ in range(2)) for _ in range(30))
+    rows += [(1000 + i, f"{few()}. {many()}" if i % 2 else f"{many()}. {few()}", None) for i in range(6)]
+    rows += [(2000, "漢字漢字", None), (2001, "12 !?", None), (2002, None, None)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert kept.columns == ["doc_id", "text", "lang"]
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows if i < 2000}
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 
