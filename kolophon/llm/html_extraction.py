@@ -6,7 +6,8 @@ proportion to the number of blocks; the two ratios are fused to a score, smoothe
 blocks in page order. Paths whose mean score reaches a threshold are content, and the element
 that holds nearly all of their text is the article. All its blocks are its text, but for what
 is in an element that serves another purpose, by its tag, its role or the words in its
-class and id, and for lists of links.
+class and id. Words and the tag `form` are no proof: an element that holds most of the content
+is a wrapper. Where no element within the body is the article, lists of links are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from kolophon.llm.kernels import slices
 
 #: Part of the mean score that a content path reaches; part of content that the article holds.
 THRESHOLD, HOLDS = 0.5, 0.75
+#: A wrapper holds HOLDS of a page's text, and sentences outside come to at most this part of that.
+OUTSIDE = 0.05
 #: Weights of a block and its neighbours in the smoothing.
 KERNEL = (0.25, 0.5, 0.25)
 #: Part of a path's text in links from which it is a list of links; fewest links of one.
@@ -55,18 +58,23 @@ _PUNCT = re.compile(r"[.,;:!?…、。，！？،؟।]")
 _END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
-def _serves_other(tag: str, attrs: str, inside: bool) -> bool:
-    """Is an element no article text? ``inside``: it is in an article, whose header may hold the headline."""
-    if tag in OTHER_TAGS and not (tag == "header" and inside):
-        return True
+#: What an element is for: maybe article text; by its words or as a form, something else; surely something else.
+TEXT, NAMED, OTHER = 0, 1, 2
+
+
+def _purpose(tag: str, attrs: str, inside: bool) -> int:
+    """``inside``: the element is in an article, whose header may hold the headline."""
+    if tag in OTHER_TAGS and tag != "form" and not (tag == "header" and inside):
+        return OTHER
+    found = NAMED if tag == "form" else TEXT
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return found
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return OTHER
         if name == "role" and value.lower() in OTHER_ROLES:
-            return True
+            return OTHER
         if name in ("class", "id"):
             words = {w.lower() for w in _SPLIT.split(value)}
             if tag in ("html", "body", "main"):
@@ -76,15 +84,16 @@ def _serves_other(tag: str, attrs: str, inside: bool) -> bool:
             if tag == "article":
                 words &= {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related"}
             if words & OTHER_WORDS:
-                return True
-    return False
+                found = NAMED
+    return found
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "other", "inside", "score")
+    __slots__ = ("tag", "parent", "path", "other", "inside", "score", "named")
 
     def __init__(self, tag: str, parent: _Element | None, other: bool):
         self.tag, self.parent, self.other, self.score = tag, parent, other, 0.0
+        self.named: int | None = None  # the place of its tag, if its words or tag speak against it
         self.path: str = f"{parent.path}/{tag}" if parent else tag
         self.inside: bool = tag in ("article", "main") or parent is not None and parent.inside
 
@@ -96,8 +105,12 @@ class _Block:
         self.element, self.text, self.linked, self.links = element, text, linked, links
 
 
-def blocks_of(page: str) -> list[_Block]:
-    """The blocks of a page that are not in an element of another purpose, in page order."""
+def blocks_of(page: str, wrappers: set[int] | None = frozenset()) -> tuple[list[_Block], int]:
+    """The blocks of a page that are not in an element of another purpose, in page order; characters left out.
+
+    ``wrappers``: places of tags whose words do not count; None for all.
+    """
+    veiled = 0
     root = at = _Element("", None, False)
     found: list[_Block] = []
     parts: list[str] = []
@@ -123,10 +136,14 @@ def blocks_of(page: str) -> list[_Block]:
         if m is None:
             if not at.other:
                 parts.append(page[pos:])
+            else:
+                veiled += size - pos
             break
         if m.start() > pos and not at.other:
             parts.append(page[pos : m.start()])
             linked += (m.start() - pos) * (in_link > 0)
+        else:
+            veiled += m.start() - pos
         pos = m.end()
         tag = m[2]
         if tag is None:
@@ -157,7 +174,7 @@ def blocks_of(page: str) -> list[_Block]:
         if tag in INLINE:
             if tag == "a" and not at.other:
                 in_link, links = 1, links + 1
-            if not at.other and _serves_other(tag, m[3], at.inside):
+            if not at.other and _purpose(tag, m[3], at.inside):
                 # An inline element of another purpose is an element for its own sake.
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
                 if end:
@@ -175,16 +192,59 @@ def blocks_of(page: str) -> list[_Block]:
             x = x.parent
         if to is not None:
             at = to
-        at = _Element(tag, at, at.other or _serves_other(tag, m[3], at.inside))
+        purpose = _purpose(tag, m[3], at.inside)
+        kept = purpose == TEXT or purpose == NAMED and (wrappers is None or m.start() in wrappers)
+        at = _Element(tag, at, at.other or not kept)
+        if purpose == NAMED:
+            at.named = m.start()
         if m[3].endswith("/") and tag in ("svg", "math"):
             at = at.parent or root
     end_block()
+    return found, veiled
+
+
+def _sentences(blocks: list[_Block]) -> int:
+    return sum(len(b.text) - b.linked for b in blocks if _PUNCT.search(b.text))
+
+
+def _wrappers(page: str) -> set[int]:
+    """Places of the tags of elements that hold most of the page's content, outer ones first, whatever their words.
+
+    If text is in articles whose words do not speak against them, that is what counts.
+    """
+    blocks, _ = blocks_of(page, None)
+    weight: dict[int, int] = {}
+    inner: dict[int, int] = {}
+    total = total_inner = 0
+    veils: list[set[int]] = []
+    for b in blocks:
+        own, article, x = set(), False, b.element
+        while x is not None:
+            if x.named is not None:
+                own.add(x.named)
+            article = article or x.named is None and x.tag in ("article", "main")
+            x = x.parent
+        w = len(b.text) - b.linked
+        total, total_inner = total + w, total_inner + w * article
+        veils.append(own)
+        for n in own:
+            weight[n] = weight.get(n, 0) + w
+            inner[n] = inner.get(n, 0) + w * article
+    held, whole, most = (inner, total_inner, 1.0) if total_inner else (weight, total, OUTSIDE)
+    found: set[int] = set()
+    for n in sorted(weight):
+        if held[n] > 0 and held[n] >= HOLDS * whole:
+            outside = _sentences([b for b, own in zip(blocks, veils, strict=True) if own <= found])
+            if outside <= most * held[n]:
+                found.add(n)
     return found
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the page's article, joined by ``\\n``."""
-    blocks = blocks_of(page or "")
+    blocks, veiled = blocks_of(page or "")
+    if veiled and veiled >= _sentences(blocks) and (wrappers := _wrappers(page)):
+        blocks, _ = blocks_of(page, wrappers)
     if not blocks:
         return ""
     paths: dict[str, int] = {}
@@ -232,7 +292,8 @@ def main_text(page: str | None) -> str:
         article = named  # a part of an article is not cut from it
     chain.add(id(article))
 
-    lists = (share >= LINKED) & (by_path(links) >= LINKS)
+    # Only where no element is singled out are lists of links told by themselves; an article's own are its text.
+    lists = (share >= LINKED) & (by_path(links) >= LINKS) & (article.tag in ("", "html", "body"))
     kept = []
     for b, p in zip(blocks, path.tolist(), strict=True):
         x = b.element

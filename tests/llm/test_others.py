@@ -253,6 +253,26 @@ def test_html(spark):
     assert extract_main_text(df.where("false")).count() == 0
 
 
+def test_html_of_wrappers():
+    text = "<h2>Head</h2><p>First para, which is long; it has marks, too.</p><p>Second para. It ends here, as it must.</p>"
+    want = "Head\nFirst para, which is long; it has marks, too.\nSecond para. It ends here, as it must."
+    side = '<div class="sidebar"><p>Side text, not of it.</p></div>'
+    for tag, end in (('div class="content has-sidebar"', "div"), ('div id="page" class="no-comments"', "div"), ('div class="search-results"', "div"), ('section class="discussion"', "section"), ('form id="aspnetForm"', "form")):
+        for inside in (text, f"<article>{text}</article>"):
+            assert main_text(f"<body><nav>menu</nav><{tag}>{inside}{side}</{end}><footer>bye</footer></body>") == want, (tag, inside)
+    # Many comments are no article, in a wrapper or not.
+    comments = f'<section id="comments">{"<p>I liked this, thanks. A lot, really!</p>" * 20}</section>'
+    for inside in (text, f"<article>{text}</article>"):
+        assert main_text(f"<body><div>{inside}</div>{comments}</body>") == want
+        assert main_text(f'<body><div class="has-sidebar"><div>{inside}</div>{comments}</div></body>') == want
+
+
+def test_html_keeps_reference_lists():
+    refs = "<ol>" + "".join(f"<li><a href=x>Reference number {i}</a></li>" for i in range(4)) + "</ol>"
+    page = f"<body><article><p>Some text, here. It is long enough, and more so.</p>{refs}</article></body>"
+    assert main_text(page) == "Some text, here. It is long enough, and more so.\n" + "\n".join(f"Reference number {i}" for i in range(4))
+
+
 def test_html_of_test_pages(spark, sf_dir):
     import html
     import re
