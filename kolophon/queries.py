@@ -721,7 +721,7 @@ def degenerate_flag(s: Shared) -> DataFrame:
 
 @query()
 def composite(s: Shared) -> DataFrame:
-    return P.line_quality(s.prep, s.sigs(), CFG, T_LINE, s.scratch, Quality(pairs=500, runs=2), with_stability=False).select("k", "threshold", "dbi_score", "sil", "nsr_peaked", "within_between", "stability", "degenerate", "composite")
+    return P.line_quality(s.prep, s.sigs(), CFG, T_LINE, s.scratch, Quality()).select("k", "threshold", "dbi_score", "sil", "nsr_peaked", "within_between", "stability", "degenerate", "composite")
 
 
 @query()

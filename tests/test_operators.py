@@ -178,6 +178,26 @@ def test_quality_row_and_stability(spark):
     assert row.n == 6 and row.n_clusters == 3 and not row.degenerate and 0 < row.composite <= 1
 
 
+def test_composite_query_is_whole(spark, sf_dir, monkeypatch):
+    """With its stability term and the default numbers of pairs and runs."""
+    from kolophon import queries
+
+    asked, whole = [], pipelines.line_quality
+
+    def line_quality(lines, sigs, cfg, threshold, scratch, q=None, with_stability=True):
+        asked.append((q or Quality(), with_stability))
+        few = spark.createDataFrame(LINES, "line_id long, doc_id long, clean string")
+        sigs = scratch.save(minhash.signatures(few, cfg))
+        return whole(few, sigs, cfg, threshold, scratch, replace(q or Quality(), runs=2), with_stability)
+
+    monkeypatch.setattr(pipelines, "line_quality", line_quality)
+    row = queries.QUERIES["composite"](spark, sf_dir).first()
+    assert asked == [(Quality(), True)] and 0 < row.stability <= 1
+    w = Quality().weights
+    parts = w.dbi * row.dbi_score + w.sil * row.sil + w.nsr * row.nsr_peaked + w.within_between * row.within_between
+    assert row.degenerate or abs(row.composite - parts - w.stability * row.stability) < 1e-9
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 6)) + 3
