@@ -61,8 +61,11 @@ def _decide(cand: pa.Table, firsts_too: bool) -> pa.Table:
         at = np.flatnonzero(new)[run]
         doc, pos = cand.column(4).to_numpy(), cand.column(5).to_numpy()
         return cand.filter(pa.array((doc != doc[at]) | (pos != pos[at])))
-    several = (np.bincount(run) > 1) | (np.bincount(run, weights=role == FIRST) > 0)
-    return cand.filter(pa.array(several[run]))
+    doc, pos, n = (cand.column(i).to_numpy() for i in (4, 5, 6))
+    other = ~new  # a further row of the key, not the same one from another mapper
+    other[1:] &= (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]) | (n[1:] != n[:-1])
+    several = np.bincount(run, weights=other | (role == FIRST)) > 0
+    return cand.filter(pa.array(several[run] & (new | other)))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], firsts_too: bool) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from brute import components, lines, ngram_join, substrings
@@ -37,6 +39,27 @@ def test_ngram_join_edges(spark, no_docs):
     assert got == [(0, 2, 0), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1)]
 
 
+def test_ngram_join_compares_all_sets_of_a_doc_id(spark):
+    x, y = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    rows = [(1, " ".join(x)), (1, " ".join(y[:50])), (2, " ".join(x + ["end"])), (3, " ".join(y[:49]))]
+    got = nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 46, 1), (1, 56, 1), (2, 57, 1), (3, 45, 1)]
+
+
+def test_ngram_join_of_many_near_copies_without_their_origin(spark, monkeypatch):
+    monkeypatch.setattr(nj, "LOCAL_OFTEN", 3)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(3, 7)):
+            w[rng.randrange(200)] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == ngram_join(rows) and len({c for _, c in got.values()}) > 1
+
+
 def test_difference_cover():
     assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 
