@@ -248,7 +248,8 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     wide = F.least(F.col("n"), most + 1 + F.floor(F.col("n") * WINDOW / 100))
     left = scratch.save(classes.join(found.where(wide - F.col("others") <= most).select("s1", "n"), ["s1", "n"]), "left")
 
-    posts = docs.join(left, "doc_id").mapInArrow(lambda it: _postings(it, k, often), _POST_SQL)
+    # The classes left grow with the table, so they are dealt out by their documents at every size.
+    posts = docs.join(left.hint("merge"), "doc_id").mapInArrow(lambda it: _postings(it, k, often), _POST_SQL)
     counted = posts.withColumn("df", F.when(F.col("c") > 0, F.col("c") + _LAST).otherwise(F.count(F.lit(1)).over(W.partitionBy("part", "k"))))
     held = counted.where("df > 1").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "k")).alias("pairs"))
     sets = scratch.save(held.mapInArrow(lambda it: _arranged(it, percent), "cid long, n long, alone long, ks array<long>"), "sets")
