@@ -9,6 +9,7 @@ half empty or emptier are then packed as wholes in a further round.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,6 +29,9 @@ CHUNK = 40_000
 CACHE = 500_000
 #: The special token's string, which the tokenizer takes as one id wherever it stands.
 SPECIAL = "<|endoftext|>"
+#: White space beside a space, as any notion of it has it; and spaces that have none beside them.
+_RUN = re.compile(r"\s | \s")
+_SINGLE = re.compile(r"(?<!\s) (?!\s)")
 
 _PIECES = pa.schema([(c, pa.int64()) for c in ("row", "doc_id", "piece", "start", "length", "ids_crc32")])
 _PIECES_SQL = "row long, doc_id long, piece long, start long, length long, ids_crc32 long"
@@ -37,10 +41,10 @@ class Encoder(dict):
     """Token ids of texts, as little-endian 32-bit bytes, by words that were met before.
 
     A byte-level BPE never merges across pretokens, and a pretoken starts at each space that
-    follows another character than a space. So a text without double spaces has the ids of
-    its parts between spaces in turn, each with its space. New parts are encoded by the same
-    vocabulary as ranks, which gives the tokenizer's ids several times faster; a text with the
-    special token's string, which only the tokenizer takes as one id, goes to the tokenizer.
+    has no white space on either side. So a text has the ids of its parts between such spaces
+    in turn, each with its space. New parts are encoded by the same vocabulary as ranks, which
+    gives the tokenizer's ids several times faster; a text with the special token's string,
+    which only the tokenizer takes as one id, goes to the tokenizer.
     """
 
     def __init__(self, path: str | None = None):
@@ -66,11 +70,12 @@ class Encoder(dict):
         return array("I", self.ordinary(text)).tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        if part[-1:] in self.marks and part[:-1].isalpha():  # letters are a pretoken, and the mark another
+        letters = part.isascii() and part.isalpha()
+        if not letters and part[-1:] in self.marks and part.isascii() and part[:-1].isalpha():  # letters are a pretoken, and the mark another
             return self[part[:-1]] + self.marks[part[-1]]
         if len(self) >= CACHE:
             self.clear()
-        ids = array("I", self.single(f" {part}".encode())).tobytes() if part.isalpha() else self._ids(" " + part)
+        ids = array("I", self.single(f" {part}".encode())).tobytes() if letters else self._ids(" " + part)
         if len(part) < 64:
             self[part] = ids
         return ids
@@ -78,9 +83,7 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if SPECIAL in text:
             return self.direct(text)
-        if "  " in text:
-            return self._ids(text)
-        head, *parts = text.split(" ")
+        head, *parts = _SINGLE.split(text) if _RUN.search(text) else text.split(" ")
         return self._ids(head) + b"".join(map(self.__getitem__, parts))
 
 

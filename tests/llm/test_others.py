@@ -43,12 +43,17 @@ def test_language_of_held_out_texts(spark, model):
 def test_language_spans_and_edges(spark, model):
     rng = random.Random(3)
     mixed = f"{speak(rng, 'aa', 10)}. {speak(rng, 'bb', 30)}, {speak(rng, 'cc', 5)}"
-    rows = [(1, mixed), (2, None), (3, "12 !?"), (4, ""), (5, "漢字漢字")]
+    rows = [(1, mixed), (2, None), (3, "12 !?"), (4, "½ ² Ⅷ"), (5, "漢字漢字")]
     got = {r.doc_id: r for r in identify_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert [(s.lang, s.words) for s in got[1].spans] == [("aa", 10), ("bb", 30), ("cc", 5)] and got[1].lang_pred == "bb"
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (2, 3, 4))
     assert got[5].lang_pred in SYLLABLES and got[5].score == 0
     assert identify_language(spark.createDataFrame([], "text string"), model).count() == 0
+    long = f"{speak(rng, 'aa', 60_000)} {speak(rng, 'bb', 50)}"
+    rows = [(1, long), (1, long), (2, "हिन्दी"), (3, "e\u0301te\u0301")]
+    got = identify_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert [(s.lang, s.words) for s in got[0].spans] == [("aa", 60_000), ("bb", 50)] and got[0] == got[1]
+    assert [sum(s.words for s in r.spans) for r in got[2:]] == [1, 1]
 
 
 def test_language_stage_keeps_balanced_texts(spark):
@@ -221,6 +226,55 @@ def test_encoder_agrees_with_tokenizer():
         assert e.encode(text) == e.direct(text), text
 
 
+def test_encoder_agrees_with_tokenizer_on_white_space():
+    from itertools import product
+
+    e = packing.Encoder()
+    for size in range(6):
+        for s in product(" \n\xa0\u3000\x85a7.é", repeat=size):
+            text = "".join(s)
+            assert e.encode(text) == e.direct(text), repr(text)
+    for text in ("a \xa0 \xa0 b", "word \xa0 \xa0", " \x1c \u2028 x  ½ y", "\u0966\u0967 हिन्दी. x", " "):
+        assert e.encode(text) == e.direct(text), repr(text)
+
+
+def test_pack_follows_the_rule():
+    rng = np.random.default_rng(7)
+    for capacity in (10, 37):
+        sizes = np.sort(rng.integers(1, capacity, 300))[::-1]
+        want, gaps = [], []  # gaps of bins, in the order of opening; the last change decides among equal gaps
+        order: list[int] = []
+        for s in sizes.tolist():
+
+            def squares(gap, size=s):
+                now = Counter(g for g in gaps if g)
+                now[gap] -= 1
+                if gap > size:
+                    now[gap - size] += 1
+                return sum(v * v for v in now.values())
+
+            room = sorted({g for g in gaps if g >= s})
+            if room:
+                gap = min(room, key=lambda g: (squares(g), g))
+                b = next(x for x in reversed(order) if gaps[x] == gap)
+                order.remove(b)
+            else:
+                b = len(gaps)
+                gaps.append(capacity)
+            want.append((b, capacity - gaps[b]))
+            gaps[b] -= s
+            order.append(b)
+        assert list(zip(*(x.tolist() for x in pack(sizes, capacity)), strict=True)) == want
+
+
+def test_packing_of_repeated_and_missing_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "a b"), (None, None), (2, "w " * 1500)]
+    got = best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash"))).collect()
+    assert Counter((r.doc_id, r.piece) for r in got)[1, 0] == 2 and len(got) == 6 and sum(r.length for r in got if r.doc_id == 2) == 2 + len(packing.Encoder().encode("w " * 1500)) // 4 - 1
+    places = [(r.sequence_id, r.offset) for r in got]
+    assert len(set(places)) == len(places)
+
+
 def test_sum_of_squares_fills(spark):
     rng = np.random.default_rng(1)
     sizes = np.sort(rng.integers(1, 700, 3000))[::-1]
