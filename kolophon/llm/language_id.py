@@ -8,7 +8,6 @@ labels most of its letters.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +52,8 @@ SCRIPTS = [
     (0xFE00, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0x10000, "other"), (0x20000, "han"),
 ]
 _FIRST = [x for x, _ in SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters, and the marks that belong to them.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def script(word: str) -> str:
@@ -152,21 +153,22 @@ def viterbi(emissions: np.ndarray, counts: np.ndarray, switch: float) -> np.ndar
     size = counts[order]
     size, start = size[size > 0], start[: int((size > 0).sum())]
     n, k = emissions.shape
-    back = np.empty((n, k), np.uint8)
-    path = np.empty(n, np.uint8)
+    kind = np.uint8 if k <= 256 else np.int32
+    back = np.empty((n, k), kind)
+    path = np.empty(n, kind)
     if not len(size):
         return path
     active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts with more than t words
-    own = np.arange(k, dtype=np.uint8)
+    own = np.arange(k, dtype=kind)
     v = emissions[start].copy()
-    last = np.empty(len(size), np.uint8)
+    last = np.empty(len(size), kind)
     for t in range(1, int(size[0])):
         a = active[t]
         if a < len(v):
             last[a : len(v)] = v[a:].argmax(axis=1)
             v = v[:a]
         at = start[:a] + t
-        from_ = v.argmax(axis=1).astype(np.uint8)
+        from_ = v.argmax(axis=1).astype(kind)
         best = v[np.arange(a), from_][:, None] - switch
         change = best > v
         back[at] = np.where(change, from_[:, None], own)
