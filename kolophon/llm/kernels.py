@@ -23,9 +23,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = (1 << 64) - 1
-_TABLE = np.random.Generator(np.random.PCG64(20_240_501)).integers(0, 1 << 64, 256, dtype=np.uint64)
-#: Odd bases: of the bytes in a word, and of the words in a window (two of these, for 128 bits).
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Numbers of the bytes, twice, as there are two hashes of a word.
+_TABLES = np.random.Generator(np.random.PCG64(20_240_501)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+#: Odd bases: of the bytes in a word, and of the words in a window; then both again, for 128 bits.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -74,9 +75,13 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a batch of texts: byte spans, 64-bit hashes, and each text's range of words."""
+    """The words of a batch of texts: byte spans, 64-bit hashes, and each text's range of words.
+
+    A second hash of each word, from other numbers and another base, is made when first asked for.
+    """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
+        self.lower = lower
         self.raw, self.offsets = text_buffer(texts)
         raw, offsets = self.raw, self.offsets
         word = ~_SPACE[raw]
@@ -89,24 +94,40 @@ class Words:
         self.starts, self.ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         del word, first, starts, ends
         self.bounds = np.searchsorted(self.starts, offsets)
-        self.hashes = np.empty(len(self.starts), np.uint64)
+        self.hashes = self._hashed(0)
+        self._second: np.ndarray | None = None
+
+    def _hashed(self, which: int) -> np.ndarray:
+        raw, table, base = self.raw, _TABLES[which], (0, 3)[which]
+        out = np.empty(len(self.starts), np.uint64)
         i = 0
         while i < len(self.starts):
             # A block ends with a word; at least one word is in it.
             j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + BLOCK, side="right")))
             lo, hi = self.starts[i], self.ends[j - 1]
             block = raw[lo:hi]
-            up, down = _pow(0, len(block) + 1)
-            sums = _prefix(_TABLE[_LOWER[block] if lower else block] * up[: len(block)])
+            up, down = _pow(base, len(block) + 1)
+            sums = _prefix(table[_LOWER[block] if self.lower else block] * up[: len(block)])
             s, e = self.starts[i:j] - lo, self.ends[i:j] - lo
-            self.hashes[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_BASES[1]))
+            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_BASES[1]))
             i = j
+        return out
+
+    @property
+    def second(self) -> np.ndarray:
+        if self._second is None:
+            self._second = self._hashed(1)
+        return self._second
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
     def windows(self, lo: int, hi: int, at: np.ndarray, length: np.ndarray | int, which: int = 1) -> np.ndarray:
-        """Hashes of the windows of ``length`` words that start at ``at``, all within words ``lo`` to ``hi``."""
+        """Hashes of the windows of ``length`` words that start at ``at``, all within words ``lo`` to ``hi``.
+
+        ``which``: 1 or 2, of the first or of the second hashes of the words.
+        """
+        hashes = self.hashes if which == 1 else self.second
         out = np.empty(len(at), np.uint64)
         size = np.broadcast_to(np.asarray(length, np.int64), at.shape)
         i = 0
@@ -116,7 +137,7 @@ class Words:
             top = int((at[i:j] + size[i:j]).max())
             up, down = _pow(which, top - base + 1)
             seed = np.uint64((_BASES[which] * 31) & _MASK)
-            sums = _prefix(mix(self.hashes[base:top] ^ seed) * up[: top - base])
+            sums = _prefix(mix(hashes[base:top] ^ seed) * up[: top - base])
             s = at[i:j] - base
             out[i:j] = mix((sums[s + size[i:j]] - sums[s]) * down[s] + size[i:j].astype(np.uint64))
             i = j

@@ -173,7 +173,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     long = sig.where(F.col("n_words") >= window).dropna(subset=["doc_id"])
 
     # Copies of a whole document are repeats throughout; the first stands for them.
-    first = long.groupBy("n_words", "s1", "s2").agg(F.min("doc_id").alias("first"))
+    # Written first, so that both sides of the join are plain shuffles and a hot key's can be split.
+    first = scratch.save(long.groupBy("n_words", "s1", "s2").agg(F.min("doc_id").alias("first")), "first")
     known = scratch.save(long.join(first, ["n_words", "s1", "s2"]), "copies")
     copies = known.where("doc_id > first").select(F.col("doc_id").alias("doc"), (F.lit(0).cast("long") if unique else F.col("s1")).alias("n"), F.lit(WHOLE).cast("long").alias("pos")).distinct()
     todo = known.where("doc_id = first").select("doc_id", "s1").distinct()
