@@ -154,7 +154,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         own = own.where(F.col("doc_id") >= low) if low is not None else own
         own = own.where(F.col("doc_id") < high) if high is not None else own
         runs.add(own)
-    gone = keys.join(runs.repeated(min_docs), ["k1", "k2"]).where(F.col("doc_id") != F.col("top"))
+    # Written first, so that both sides of the join are plain shuffles and a hot key's can be split.
+    repeated = scratch.save(runs.repeated(min_docs), "repeated")
+    gone = keys.join(repeated.hint("merge"), ["k1", "k2"]).where(F.col("doc_id") != F.col("top"))
     found = scratch.save(gone.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("_found")), "found")
     text_column = next(c for c in docs.columns if c.lower() == "text")
     out = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
