@@ -194,14 +194,17 @@ def embedding_near_dedup(rows: DataFrame, threshold: float = THRESHOLD) -> DataF
     # A class holds equal vectors of one label, told by two 64-bit hashes; 0.0 makes -0.0 equal to it.
     plus = F.transform("vec", lambda x: x + F.lit(0.0))
     base = base.withColumns({"cid": F.xxhash64("label", plus), "c2": F.xxhash64(F.lit(7), plus, "label")})
-    classes = scratch.save(
+    found = (
         base.where("good").groupBy("label", "cid", "c2").agg(F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec"), F.min("vec_id").alias("low"))
-        .withColumn("dim", F.size("vec").cast("long")).withColumn("g", F.concat_ws("|", F.col("dim").cast("string"), "label")),
-        "classes",
+        .withColumn("dim", F.size("vec").cast("long")).withColumn("g", F.concat_ws("|", F.col("dim").cast("string"), "label"))
     )
+    # A number of its own for each class: a node.
+    numbered = scratch.save(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+    names = numbered.select("label", "cid", "c2", "node", "m", "low")
+    classes = numbered.select("g", F.col("node").alias("cid"), "m", "dim", "vec")
     axes = _axes(classes)
     side = float(np.sqrt(2 - 2 * threshold)) or 1e-3
-    lead = classes.select("g", "cid", "m", "dim", "vec").mapInArrow(lambda it: _lead(it, axes, side), "g string, cid long, m long, dim long, vec array<double>, c1 int, c2 int, y3 double")
+    lead = classes.mapInArrow(lambda it: _lead(it, axes, side), "g string, cid long, m long, dim long, vec array<double>, c1 int, c2 int, y3 double")
     ranked = with_global_index(scratch, lead, [F.col(c) for c in ("c1", "c2", "y3", "cid")], group="g")
     tiles = scratch.save(
         ranked.select("g", (F.col("idx") / TILE).cast("long").alias("tile"), "cid", "m", "vec").groupBy("g", "tile").applyInArrow(lambda t: _tile(t, axes), "g string, tile long, dim long, lo array<double>, hi array<double>, cids binary, ms binary, xs binary"),
@@ -210,19 +213,23 @@ def embedding_near_dedup(rows: DataFrame, threshold: float = THRESHOLD) -> DataF
     box = tiles.select("g", "tile", "lo", "hi")
     one, two = (box.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("tile", "lo", "hi")]) for s in "ij")
     gap = "aggregate(zip_with(zip_with(lo_i, hi_j, (x, y) -> x - y), zip_with(lo_j, hi_i, (x, y) -> x - y), (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x)"
-    pairs = one.join(two, "g").where(f"tile_i <= tile_j AND {gap} <= {2 - 2 * threshold + SLACK}").select("g", F.col("tile_i").alias("i"), F.col("tile_j").alias("j"))
+    # Only tiles that meet in a cell of the two leading axes, or in cells next to each other, can be near enough.
+    cell = lambda c, a: F.floor(F.col(c)[a] / side).cast("int")
+    span = lambda s, a, more: F.explode(F.sequence(cell(f"lo_{s}", a) - more, cell(f"hi_{s}", a) + more)).alias(f"s{a}")
+    one, two = (t.select("*", span(s, 0, more)).select("*", span(s, 1, more)) for t, s, more in ((one, "i", 0), (two, "j", 1)))
+    near = one.join(two, ["g", "s0", "s1"]).where(f"tile_i <= tile_j AND {gap} <= {2 - 2 * threshold + SLACK}")
+    pairs = near.select("g", F.col("tile_i").alias("i"), F.col("tile_j").alias("j")).distinct()
     held = lambda s: tiles.select("g", F.col("tile").alias(s), *([F.col("dim")] if s == "i" else []), *[F.col(c).alias(f"{c}_{s}") for c in ("cids", "ms", "xs")])
     work = pairs.repartition("g", "i", "j").join(held("i"), ["g", "i"]).join(held("j"), ["g", "j"])
     linked = scratch.save(work.mapInArrow(lambda it: _compare(it, axes, threshold), "src long, dst long, links long"), "linked")
 
-    counts = linked.groupBy(F.col("src").alias("cid")).agg(F.sum("links").alias("links"))
+    counts = linked.groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
     comps = connected_components(linked.select("src", "dst"), scratch)
-    named = comps.select(F.col("node").alias("cid"), "component").join(classes.select("cid", "low"), "cid")
+    named = comps.join(names.select("node", "low"), "node")
     lows = named.groupBy("component").agg(F.min("low").alias("least"))
     of_class = (
-        classes.select("label", "cid", "c2", "m", "low")
-        .join(named.join(lows, "component").select("cid", "least"), "cid", "left")
-        .join(counts, "cid", "left")
+        names.join(named.join(lows, "component").select("node", "least"), "node", "left")
+        .join(counts, "node", "left")
         .select("label", "cid", "c2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("least", "low").alias("least"))
     )
     out = base.select("vec_id", F.when(F.col("good"), F.col("label")).alias("label"), "cid", "c2").join(of_class, ["label", "cid", "c2"], "left")

@@ -133,3 +133,11 @@ def test_embeddings(spark, monkeypatch, tile):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_near_dedup(df).collect()}
     assert got == brute_vectors(rows, 0.98) and max(v[0] for v in got.values()) > 5
     assert embedding_dedup.embedding_near_dedup(df.where("false")).count() == 0
+
+
+def test_embeddings_null_and_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, v, 1), (3, v, 1), (3, v, 1), (3, w, 1), (5, [1.0, 0.01, 0.0], 1), (None, [0.0, 0.0, 1.0], 1), (4, [float("inf"), 1.0, 0.0], 1)]
+    got = embedding_dedup.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in got if r.vec_id) == [(3, 0, 3, True), (3, 3, 3, True), (3, 3, 3, True), (4, 0, 4, True), (5, 3, 3, False)]
+    assert sorted((r.n_links, r.component_id or -1) for r in got if not r.vec_id) == [(0, -1), (3, 3)]
