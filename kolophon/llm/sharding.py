@@ -3,9 +3,11 @@
 Linked documents, here those with equal texts, start in shards dealt by a hash. In each
 round a join tells every one of them how many of its neighbours are in which shard; those
 that have more in another shard with room apply to move there, and of the applications to
-a shard as many are granted, best gains first, as its quota of bytes allows. Afterwards
-what exceeds a shard's share is released and, with the documents that have no links, fills
-the shards to equal sizes: the large ones first, then the small ones level what is uneven.
+a shard as many are granted, best gains first, as its quota of bytes allows. Rounds move
+documents to shards of lower and of higher numbers in turn, so that neighbours do not pass each
+other, until neither moves any. Afterwards what exceeds a shard's share is released, by whole
+links but for one, and, with the documents that have no links, fills the shards to equal sizes:
+the large ones first, then the small ones level what is uneven.
 """
 
 from __future__ import annotations
@@ -15,17 +17,21 @@ from pyspark.sql import functions as F
 
 from kolophon.runtime import Scratch, with_global_index
 
-SHARDS, ROUNDS = 8, 8
+#: Shards, and a guard on rounds; they end by themselves when nothing moves.
+SHARDS, ROUNDS = 8, 40
+#: Applications of which a smaller part than this would be granted are refused.
+LEAST_GRANT = 0.01
 #: A shard may be so much fuller than its share while labels move.
 SLACK = 1.02
 #: The smallest documents, which hold about this share of what is free, level the shards.
 LEVELLING = 0.1
 
 
-def _votes(members: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+def _votes(members: DataFrame, labels: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """For each node (id, shard, size, v): by shard, its neighbours there, itself left out."""
     at = members.join(labels.select("id", "shard"), "id")
-    count = at.groupBy("link").agg(*[F.sum(F.when(F.col("shard") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(n)])
+    # Written first, so that both sides of the next join are plain shuffles and a hot link's can be split.
+    count = scratch.save(at.groupBy("link").agg(*[F.sum(F.when(F.col("shard") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(n)]), "count")
     own = at.join(count, "link").select("id", *[(F.col(f"c{i}") - F.when(F.col("shard") == i, 1).otherwise(0)).alias(f"c{i}") for i in range(n)])
     sums = own.groupBy("id").agg(F.array(*[F.sum(f"c{i}") for i in range(n)]).alias("v"))
     return labels.join(sums, "id")
@@ -38,14 +44,14 @@ def propagate(nodes: DataFrame, members: DataFrame, capacity: float, scratch: Sc
     bytes that a shard may hold. Only sums by shard and gain come to the driver.
     """
     labels = scratch.save(nodes.select("id", "size", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).cast("int").alias("shard")), "labels")
+    still = 0
     for turn in range(rounds):
         load = dict(labels.groupBy("shard").agg(F.sum("size")).collect())
         room = [capacity - (load.get(i) or 0) for i in range(n)]
-        # Half of the nodes may move in a round, so that neighbours do not pass each other.
-        free = F.pmod(F.xxhash64("id", F.lit(100 + turn)), F.lit(2)) == 0
-        votes = _votes(members, labels, n)
+        votes = _votes(members, labels, n, scratch)
         options = F.array(*[F.struct(F.col("v")[i].alias("v"), F.lit(-i).alias("i")) for i in range(n) if room[i] > 0])
         best = F.array_max(options) if any(r > 0 for r in room) else F.lit(None).cast("struct<v:bigint,i:int>")
+        free = -F.col("best.i") < F.col("shard") if turn % 2 == 0 else -F.col("best.i") > F.col("shard")
         gain = F.col("best.v") - F.element_at("v", F.col("shard") + 1)
         apply = votes.withColumn("best", best).select("id", "size", "shard", F.when(free & (gain > 0), -F.col("best.i")).alias("to"), F.floor(F.log2(gain.cast("double"))).alias("level"))
         apply = scratch.save(apply, "applications")
@@ -53,10 +59,16 @@ def propagate(nodes: DataFrame, members: DataFrame, capacity: float, scratch: Sc
         grants: dict[tuple[int, int], float] = {}
         for to, level, size in asked:
             share = min(1.0, max(0.0, room[to]) / size)
+            share = share if share >= LEAST_GRANT else 0.0
             grants[to, level] = share
             room[to] -= share * size
         if not any(grants.values()):
-            break
+            scratch.drop(apply)
+            still += 1
+            if still == 2:  # neither to lower nor to higher numbers
+                break
+            continue
+        still = 0
         granted = F.lit(0.0)
         for (to, level), share in grants.items():
             granted = F.when((F.col("to") == to) & (F.col("level") == level), share).otherwise(granted)
@@ -89,8 +101,9 @@ def balanced_shards(nodes: DataFrame, members: DataFrame, scratch: Scratch, n: i
     share = total / n
     linked = nodes.join(members.select("id").distinct(), "id", "left_semi")
     labels = propagate(linked, members, share * SLACK, scratch, n, rounds)
-    # Released: what lies beyond a shard's share, from the end of a hash order.
-    ranked = scratch.save(with_global_index(scratch, labels, [F.xxhash64("id", F.lit(4)), F.col("id")], group="shard", weight="size"), "ranked")
+    # Released: what lies beyond a shard's share, from the end of an order by links.
+    linked = labels.join(members.groupBy("id").agg(F.min(F.xxhash64("link")).alias("first")), "id")
+    ranked = scratch.save(with_global_index(scratch, linked, [F.col("first"), F.col("id")], group="shard", weight="size"), "ranked")
     inside = F.col("weight_before") + F.col("size") <= share
     kept = ranked.where(inside).select("id", "size", "shard")
     single = nodes.join(members.select("id").distinct(), "id", "left_anti").select("id", "size")
@@ -127,11 +140,12 @@ def shard_documents(docs: DataFrame, n: int = SHARDS, rounds: int = ROUNDS) -> D
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(raw).alias("t"),
-        F.xxhash64(raw, F.lit(9)).alias("t2"),
+        F.xxhash64(F.concat(F.lit("\x01"), raw)).alias("t2"),  # from other words than t, so no function of it
     )
     base = scratch.save(base, "base")
     link = F.struct("t", "t2").alias("link")
-    several = base.groupBy("t", "t2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    # Written first, so that both sides of the join are plain shuffles and a hot key's can be split.
+    several = scratch.save(base.groupBy("t", "t2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "several")
     members = scratch.save(base.join(several, ["t", "t2"], "left_semi").select("id", link), "members")
     placed = balanced_shards(base.select("id", "size"), members, scratch, n, rounds)
     whole = base.select("id", "doc_id", "size", "text_crc32").join(placed.select("id", "shard"), "id")

@@ -15,7 +15,8 @@ from kolophon.llm.html_extraction import extract_main_text, main_text
 from kolophon.llm.language_id import fit, identify_language, viterbi
 from kolophon.llm.mixing import flight, mix_sources
 from kolophon.llm.packing import best_fit_packing, pack
-from kolophon.llm.sharding import shard_documents
+from kolophon.llm.sharding import propagate, shard_documents
+from kolophon.runtime import Scratch
 
 SYLLABLES = {"aa": ["ka", "mo", "ti", "sel", "un"], "bb": ["sch", "ein", "ung", "keit", "ver"], "cc": ["пр", "иве", "ток", "да"]}
 
@@ -137,6 +138,49 @@ def test_sharding(spark, docs, corpus):
     assert shard_documents(docs.where("false")).count() == 0
 
 
+def test_propagation_joins_every_link(spark):
+    rng = random.Random(8)
+    rows = [(f"text {g} " * 5, s) for g in range(60) for s in range(rng.randrange(2, 12))]
+    scratch = Scratch(spark, "test")
+    nodes = scratch.save(spark.createDataFrame([(i, 50) for i in range(len(rows))], "id long, size long"))
+    members = scratch.save(spark.createDataFrame([(i, hash(t)) for i, (t, _) in enumerate(rows)], "id long, link long"))
+    at = {r.id: r.shard for r in propagate(nodes, members, 1e9, scratch).collect()}
+    by = defaultdict(set)
+    for i, (t, _) in enumerate(rows):
+        by[t].add(at[i])
+    assert all(len(v) == 1 for v in by.values()) and len(set(at.values())) == 8
+    # No more than what a shard may hold moves there, or stays beyond it by more than a draw.
+    tight = len(rows) * 50 / 8 * 1.02
+    load = Counter()
+    for r in propagate(nodes, members, tight, scratch).collect():
+        load[r.shard] += r.size
+    assert max(load.values()) < 1.35 * tight and sum(load.values()) == 50 * len(rows)
+
+
+def test_sharding_keeps_equal_texts_together(spark):
+    rng = random.Random(10)
+    rows = [f"{g} " * rng.randrange(20, 60) for g in range(80) for _ in range(5)] + [f"single {i} " * rng.randrange(40) for i in range(600)] + [f"s {i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumns({"shard": F.lit("clash"), "t": F.lit(1), "id": F.lit("c")})
+    got = shard_documents(df).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[rows[r.doc_id]].add(r.shard)
+    assert sum(len(v) > 1 for v in by.values()) <= 8  # one for each shard that is too full
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) <= 400
+    again = shard_documents(df).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_sharding_of_a_very_long_text(spark):
+    rows = [(1, "long " * 200_000)] + [(i, f"short {i}") for i in range(2, 100)] + [(None, "short 5")]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    alone = next(r for r in got if r.doc_id == 1)
+    assert len(got) == 100 and len([r for r in got if r.shard == alone.shard]) <= 2
+
+
 def test_fingerprints(spark, docs, corpus):
     got = {r.doc_id: r for r in fingerprint_documents(docs).collect()}
     order = sorted(corpus, reverse=True)
