@@ -215,6 +215,31 @@ def test_fingerprint_is_homomorphic_and_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_likeness_estimates_the_cosine(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(30, 900))]
+        rows.append((2 * i + 1, " ".join(base)))
+        share = rng.random()
+        rows.append((2 * i, "\n".join(" ".join(w if rng.random() < share else f"x{rng.randrange(3000)}" for w in base[j : j + 50]) for j in range(0, len(base), 50))))
+    rows.append((100, "many " * 70_000))  # more than a byte, or 16 bits, count
+    rows.append((101, "many " * 70_000 + "more"))
+
+    def features(t):
+        return Counter(" ".join(w[i : i + 3]) for line in t.split("\n") for w in [line.split(" ")] for i in range(len(w)))
+
+    def cosine(a, b):
+        dot = lambda x, y: sum(v * y[k] for k, v in x.items())
+        return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+
+    got = {r.doc_id: r.near_next for r in fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of = {i: features(t) for i, t in rows}
+    off = [got[2 * i + 1] - cosine(of[2 * i + 1], of[2 * i]) for i in range(40)]
+    assert max(map(abs, off)) < 4 / 16 and np.mean(np.abs(off)) < 1 / 16
+    assert got[101] > 0.999
+
+
 def test_fingerprints_across_blocks(spark, monkeypatch):
     from kolophon.llm import fingerprints
 
