@@ -1,13 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into its text blocks, each under a root-to-leaf path of block tags.
-For each path the lengths and the punctuation of its blocks are aggregated and put in
-proportion to the number of blocks; the two ratios are fused to a score, smoothed over the
-blocks in page order. Paths whose mean score reaches a threshold are content, and the element
-that holds nearly all of their text is the article. All its blocks are its text, but for what
-is in an element that serves another purpose, by its tag, its role or the words in its
-class and id. Words and the tag `form` are no proof: an element that holds most of the content
-is a wrapper. Where no element within the body is the article, lists of links are left out.
+A page is read once into its text blocks, each under a root-to-leaf path of block tags with
+their classes. What the markup itself says is no text of the article, by tag, role or as
+hidden, is left out. For each path the lengths and the punctuation of its blocks are
+aggregated and put in proportion to the number of blocks; the two ratios are fused to a score
+and smoothed over the blocks in page order. Words of class and id that speak of another purpose
+lower a path's score, some more than others, unless their element is a wrapper that holds most
+of the page's text. Paths whose mean score reaches a threshold are content.
+
+The element that holds nearly all text of content paths is the article. An element in it whose
+words speak against it stays if the paths that its text is on are content on the whole; the
+others stay, as headings and short items belong to an article. Where no element within the body is the article, lists of links
+are left out.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 
 from kolophon.llm.kernels import slices
 
+#: What is left of the score of a path with words that may, or that surely do, tell of another purpose.
+DOUBTFUL, UNLIKELY = 0.6, 0.1
 #: Part of the mean score that a content path reaches; part of content that the article holds.
-THRESHOLD, HOLDS = 0.5, 0.75
+THRESHOLD, HOLDS = 0.4, 0.75
 #: A wrapper holds HOLDS of a page's text, and sentences outside come to at most this part of that.
 OUTSIDE = 0.05
 #: Weights of a block and its neighbours in the smoothing.
@@ -38,13 +44,15 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 OTHER_TAGS = {"nav", "header", "footer", "aside", "form", "head", "noscript", "template", "button", "select", "option", "dialog", "menu", "svg", "math", "object", "audio", "video", "canvas", "fieldset", "legend", "datalist"}
 OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-OTHER_WORDS = {
-    "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "footer", "sidebar", "aside",
+UNLIKELY_WORDS = {
+    "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer", "sidebar",
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "comment", "comments", "commentlist",
-    "disqus", "respond", "replies", "reply", "discussion", "share", "sharing", "social", "follow", "related", "recommended", "trending", "popular",
-    "subscribe", "subscription", "newsletter", "signup", "login", "signin", "search", "form", "widget", "toolbar", "pagination", "pager", "paywall",
-    "skip", "copyright", "legal", "disclaimer",
+    "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "comment", "comments", "commentlist",
+    "disqus", "respond", "replies", "reply", "share", "sharing", "social", "related", "recommended",
+    "subscribe", "subscription", "newsletter", "signup", "login", "signin", "toolbar", "pagination", "pager", "paywall", "skip",
+}
+DOUBTFUL_WORDS = {
+    "aside", "header", "notice", "notices", "alert", "discussion", "follow", "trending", "popular", "search", "form", "widget", "copyright", "legal", "disclaimer",
 }
 #: Tags that close an open one of the same kind, up to the nearest of the second set.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -52,49 +60,63 @@ _ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "di
 _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "html", "aside", "blockquote", "div"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…、。，！？،؟।]")
 _END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
-#: What an element is for: maybe article text; by its words or as a form, something else; surely something else.
-TEXT, NAMED, OTHER = 0, 1, 2
-
+def _purpose(tag: str, attrs: str, inside: bool) -> tuple[float, str]:
+    """What an element leaves of a score, 0 if the markup rules it out; and its classes without digits.
 
-def _purpose(tag: str, attrs: str, inside: bool) -> int:
-    """``inside``: the element is in an article, whose header may hold the headline."""
+    ``inside``: the element is in an article, whose header may hold the headline.
+    """
     if tag in OTHER_TAGS and tag != "form" and not (tag == "header" and inside):
-        return OTHER
-    found = NAMED if tag == "form" else TEXT
+        return 0.0, ""
+    left, classes = DOUBTFUL if tag == "form" else 1.0, ""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return found
+        return left, classes
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return OTHER
+            return 0.0, ""
         if name == "role" and value.lower() in OTHER_ROLES:
-            return OTHER
+            return 0.0, ""
         if name in ("class", "id"):
-            words = {w.lower() for w in _SPLIT.split(value)}
+            found = [w.lower() for w in _SPLIT.split(value) if w]
+            words = set(found)
+            if name == "class":
+                classes = "." + "-".join(found)
             if tag in ("html", "body", "main"):
                 continue
             if inside and tag == "header":
                 words.discard("header")
             if tag == "article":
                 words &= {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "promo", "related"}
-            if words & OTHER_WORDS:
-                found = NAMED
-    return found
+            if words & UNLIKELY_WORDS:
+                left = UNLIKELY
+            elif words & DOUBTFUL_WORDS:
+                left = min(left, DOUBTFUL)
+    return left, classes
+
+
+def _end_of(tag: str, page: str, pos: int) -> int | None:
+    """Where the element ends whose start tag ends at ``pos``, others of its name within it included."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page, pos):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return None
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "other", "inside", "score", "named")
+    __slots__ = ("tag", "parent", "path", "other", "inside", "score", "left")
 
-    def __init__(self, tag: str, parent: _Element | None, other: bool):
-        self.tag, self.parent, self.other, self.score = tag, parent, other, 0.0
-        self.named: int | None = None  # the place of its tag, if its words or tag speak against it
-        self.path: str = f"{parent.path}/{tag}" if parent else tag
+    def __init__(self, tag: str, parent: _Element | None, left: float = 1.0, classes: str = ""):
+        self.tag, self.parent, self.score, self.left = tag, parent, 0.0, left
+        self.other: bool = not left or parent is not None and parent.other
+        self.path: str = f"{parent.path}/{tag}{classes}" if parent else tag
         self.inside: bool = tag in ("article", "main") or parent is not None and parent.inside
 
 
@@ -105,13 +127,9 @@ class _Block:
         self.element, self.text, self.linked, self.links = element, text, linked, links
 
 
-def blocks_of(page: str, wrappers: set[int] | None = frozenset()) -> tuple[list[_Block], int]:
-    """The blocks of a page that are not in an element of another purpose, in page order; characters left out.
-
-    ``wrappers``: places of tags whose words do not count; None for all.
-    """
-    veiled = 0
-    root = at = _Element("", None, False)
+def blocks_of(page: str) -> list[_Block]:
+    """The blocks of a page that the markup does not rule out, in page order."""
+    root = at = _Element("", None)
     found: list[_Block] = []
     parts: list[str] = []
     linked = links = in_link = 0
@@ -125,25 +143,16 @@ def blocks_of(page: str, wrappers: set[int] | None = frozenset()) -> tuple[list[
             parts.clear()
         linked, links = 0, 0
 
-    def close_to(element: _Element) -> None:
-        nonlocal at
-        end_block()
-        at = element
-
     pos, size = 0, len(page)
     while pos < size:
         m = _TOKEN.search(page, pos)
         if m is None:
             if not at.other:
                 parts.append(page[pos:])
-            else:
-                veiled += size - pos
             break
         if m.start() > pos and not at.other:
             parts.append(page[pos : m.start()])
             linked += (m.start() - pos) * (in_link > 0)
-        else:
-            veiled += m.start() - pos
         pos = m.end()
         tag = m[2]
         if tag is None:
@@ -158,7 +167,8 @@ def blocks_of(page: str, wrappers: set[int] | None = frozenset()) -> tuple[list[
             while x.parent is not None and x.tag != tag:
                 x = x.parent
             if x.parent is not None:
-                close_to(x.parent)
+                end_block()
+                at = x.parent
             elif tag in ("p", "br"):
                 end_block()
             continue
@@ -174,11 +184,10 @@ def blocks_of(page: str, wrappers: set[int] | None = frozenset()) -> tuple[list[
         if tag in INLINE:
             if tag == "a" and not at.other:
                 in_link, links = 1, links + 1
-            if not at.other and _purpose(tag, m[3], at.inside):
-                # An inline element of another purpose is an element for its own sake.
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-                if end:
-                    pos = end.end()
+            if not at.other and _purpose(tag, m[3], at.inside)[0] <= UNLIKELY:
+                # An inline element of another purpose is one for its own sake.
+                pos = _end_of(tag, page, pos) or pos
+                in_link = 0 if tag == "a" else in_link
             continue
         end_block()
         in_link = 0
@@ -192,63 +201,66 @@ def blocks_of(page: str, wrappers: set[int] | None = frozenset()) -> tuple[list[
             x = x.parent
         if to is not None:
             at = to
-        purpose = _purpose(tag, m[3], at.inside)
-        kept = purpose == TEXT or purpose == NAMED and (wrappers is None or m.start() in wrappers)
-        at = _Element(tag, at, at.other or not kept)
-        if purpose == NAMED:
-            at.named = m.start()
+        at = _Element(tag, at, *_purpose(tag, m[3], at.inside))
         if m[3].endswith("/") and tag in ("svg", "math"):
             at = at.parent or root
     end_block()
-    return found, veiled
+    return found
 
 
 def _sentences(blocks: list[_Block]) -> int:
     return sum(len(b.text) - b.linked for b in blocks if _PUNCT.search(b.text))
 
 
-def _wrappers(page: str) -> set[int]:
-    """Places of the tags of elements that hold most of the page's content, outer ones first, whatever their words.
+def _chain(element: _Element | None) -> Iterator[_Element]:
+    while element is not None:
+        yield element
+        element = element.parent
+
+
+def _wrappers(blocks: list[_Block]) -> set[int]:
+    """Elements that hold most of the page's text, outer ones first, whatever their words.
 
     If text is in articles whose words do not speak against them, that is what counts.
     """
-    blocks, _ = blocks_of(page, None)
-    weight: dict[int, int] = {}
-    inner: dict[int, int] = {}
-    total = total_inner = 0
+    held: dict[int, list[int]] = {}
+    total = [0, 0]
     veils: list[set[int]] = []
+    order: dict[int, int] = {}
     for b in blocks:
-        own, article, x = set(), False, b.element
-        while x is not None:
-            if x.named is not None:
-                own.add(x.named)
-            article = article or x.named is None and x.tag in ("article", "main")
-            x = x.parent
+        own = [id(x) for x in _chain(b.element) if x.left < 1]
+        article = any(x.left == 1 and x.tag in ("article", "main") for x in _chain(b.element))
         w = len(b.text) - b.linked
-        total, total_inner = total + w, total_inner + w * article
-        veils.append(own)
-        for n in own:
-            weight[n] = weight.get(n, 0) + w
-            inner[n] = inner.get(n, 0) + w * article
-    held, whole, most = (inner, total_inner, 1.0) if total_inner else (weight, total, OUTSIDE)
+        weights = (w, w * article)
+        veils.append(set(own))
+        for at, n in [(total, 0), *((held.setdefault(x, [0, 0]), 0) for x in own)]:
+            at[0], at[1] = at[0] + weights[0], at[1] + weights[1]
+        for n in reversed(own):
+            order.setdefault(n, len(order))
+    kind, most = (1, 1.0) if total[1] else (0, OUTSIDE)
     found: set[int] = set()
-    for n in sorted(weight):
-        if held[n] > 0 and held[n] >= HOLDS * whole:
+    for n in order:
+        if held[n][kind] > 0 and held[n][kind] >= HOLDS * total[kind]:
             outside = _sentences([b for b, own in zip(blocks, veils, strict=True) if own <= found])
-            if outside <= most * held[n]:
+            if outside <= most * held[n][kind]:
                 found.add(n)
     return found
 
 
+def path_scores(length: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The fused score of paths with so much text, and so many punctuation marks, for each node."""
+    return np.sqrt(np.maximum(length * (1 + marks), 0))
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the page's article, joined by ``\\n``."""
-    blocks, veiled = blocks_of(page or "")
-    if veiled and veiled >= _sentences(blocks) and (wrappers := _wrappers(page)):
-        blocks, _ = blocks_of(page, wrappers)
+    blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    paths: dict[str, int] = {}
-    path = np.array([paths.setdefault(b.element.path, len(paths)) for b in blocks])
+    wrappers = _wrappers(blocks)
+    left = np.array([min(x.left for x in _chain(b.element) if id(x) not in wrappers) for b in blocks])
+    paths: dict[tuple, int] = {}
+    path = np.array([paths.setdefault((b.element.path, x), len(paths)) for b, x in zip(blocks, left.tolist(), strict=True)])
     length = np.array([len(b.text) for b in blocks], float)
     marks = np.array([len(_PUNCT.findall(b.text)) for b in blocks], float)
     linked, links = np.array([b.linked for b in blocks], float), np.array([b.links for b in blocks], float)
@@ -256,14 +268,24 @@ def main_text(page: str | None) -> str:
     by_path = lambda x: np.bincount(path, weights=x)
     # The ratios of text, and of punctuation, to nodes of a path, fused; links count against it.
     share = by_path(linked) / by_path(length)
-    fused = (by_path(length - linked) / count) * (1 + by_path(marks) / count)
-    score = np.sqrt(np.maximum(fused, 0))[path]
+    score = path_scores(by_path(length - linked) / count, by_path(marks) / count)[path]
     padded = np.pad(score, 1, mode="edge")
     smooth = sum(k * padded[i : i + len(score)] for i, k in enumerate(KERNEL))
-    smooth = np.minimum(smooth, 2 * score)  # a neighbour lifts no path by more than twice
+    smooth = np.minimum(smooth, 2 * score) * left  # a neighbour lifts no path by more than twice
     mean = by_path(smooth) / count
-    content = mean >= THRESHOLD * np.average(smooth, weights=length)
-    weight = np.where(content[path], length - linked, 0.0)
+    # What content is like is told by blocks that no word speaks against, if any has a sentence.
+    like = next((x for x in ((left == 1) & (marks > 0), left > UNLIKELY) if x.any()), None)
+    least = THRESHOLD * np.average(smooth[like], weights=length[like]) if like is not None else np.inf
+    content = mean >= least
+    # An element whose words speak against it is content if its text is on the whole, by the paths it is on.
+    sums: dict[int, list[float]] = {}
+    for b, x, n, m in zip(blocks, left.tolist(), length.tolist(), mean[path].tolist(), strict=True):
+        for e in _chain(b.element):
+            if e.left < 1 and id(e) not in wrappers and x >= e.left:
+                at = sums.setdefault(id(e), [0.0, 0.0])
+                at[0], at[1] = at[0] + n, at[1] + n * m
+    against = {e for e, (n, m) in sums.items() if m < least * n}
+    weight = np.where(content[path], (length - linked) * left, 0.0)
     if not weight.any():
         weight = length
 
@@ -299,7 +321,7 @@ def main_text(page: str | None) -> str:
         x = b.element
         while x is not None and id(x) not in chain:
             x = x.parent
-        if x is not None and not lists[p]:
+        if x is not None and not lists[p] and not any(id(e) in against for e in _chain(b.element)):
             kept.append(b.text)
     return "\n".join(kept)
 

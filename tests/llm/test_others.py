@@ -9,7 +9,7 @@ import pytest
 from brute import WORD, targets
 from pyspark.sql import functions as F
 
-from kolophon.llm import packing
+from kolophon.llm import html_extraction, packing
 from kolophon.llm.fingerprints import fingerprint_documents
 from kolophon.llm.html_extraction import extract_main_text, main_text
 from kolophon.llm.language_id import fit, identify_language, viterbi
@@ -390,6 +390,40 @@ def test_html_of_wrappers():
         assert main_text(f'<body><div class="has-sidebar"><div>{inside}</div>{comments}</div></body>') == want
 
 
+PARAS = [f"Paragraph {i} of the text, which is long; it has marks, and more of them. It ends here, as it must." for i in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in PARAS)
+#: Pages without help from an article tag, and their text.
+PAGES = [
+    (f'<body><nav>a b</nav><div class="post-popular"><h1>Head</h1>{BODY}</div><footer>bye</footer></body>', ["Head", *PARAS]),
+    (f'<body><div id="search-results">{BODY}</div><div class="links"><a href=x>One</a> <a href=y>Two</a></div></body>', PARAS),
+    (f'<body><div><div>Home</div><div>News</div><div>About</div></div><div><h1>Head</h1>{BODY}</div><div><div>Imprint</div><div>Contact</div></div></body>', ["Head", *PARAS]),
+    # More text in short entries than in the article.
+    ("<body><div>" + "".join(f"<div>Topic number {i}</div>" for i in range(90)) + f"</div><div>{BODY}</div></body>", PARAS),
+    # A section that is as rich as the rest belongs to it, one that is not does not.
+    (f'<body><article>{BODY}<section class="discussion"><h2>Discussion</h2><p>{PARAS[0]}</p></section></article></body>', [*PARAS, "Discussion", PARAS[0]]),
+    (f'<body><article>{BODY}<div class="notice">Note this</div><div class="legal">All rights</div></article></body>', PARAS),
+    (f'<body><article>{BODY}<div class="ad">{PARAS[0]}</div></article></body>', PARAS),
+    (f'<body><article data-hidden="false" data-class="ad" title="hidden id=comments">{BODY}</article></body>', PARAS),
+    (f'<body><article>{BODY}<p>Some <span class="ad">ad <span>in</span> it</span> text, <span class="search-term">found</span> here.</p></article></body>', [*PARAS, "Some text, found here."]),
+]
+
+
+def test_html_pages_by_hand():
+    for page, want in PAGES:
+        assert main_text(page) == "\n".join(want), page
+
+
+def test_html_rests_on_path_scores(monkeypatch):
+    monkeypatch.setattr(html_extraction, "path_scores", lambda length, marks: np.ones(len(length)))
+    assert sum(main_text(page) != "\n".join(want) for page, want in PAGES) >= 2
+
+
+def test_html_of_a_very_long_page(spark):
+    page = f"<body><article>{BODY * 3000}</article><footer>x</footer></body>"
+    got = extract_main_text(spark.createDataFrame([(1, None, page), (1, None, page)], "page_id long, url string, html string")).collect()
+    assert got[0] == got[1] and got[0].text == "\n".join(PARAS * 3000) and got[0].url is None
+
+
 def test_html_keeps_reference_lists():
     refs = "<ol>" + "".join(f"<li><a href=x>Reference number {i}</a></li>" for i in range(4)) + "</ol>"
     page = f"<body><article><p>Some text, here. It is long enough, and more so.</p>{refs}</article></body>"
