@@ -99,8 +99,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     scripts = by_gram.where("gram LIKE '\n%'").collect()  # one row for a script
     top = by_gram.where("gram NOT LIKE '\n%'").orderBy(F.desc("total"), "gram").limit(VOCABULARY).collect()
     langs = sorted({k for r in scripts for k in r.n})
-    table = np.array([[r.n.get(k, 0) for k in langs] for r in top] + [[0] * len(langs)], float).reshape(-1, len(langs)) + SMOOTH
-    letters = np.array([[r.n.get(k, 0) for k in langs] for r in scripts], float).reshape(-1, len(langs))
+    table = np.array([[r.n.get(k, 0) for k in langs] for r in top] + [[0] * len(langs)], float).reshape(len(top) + 1, len(langs)) + SMOOTH
+    letters = np.array([[r.n.get(k, 0) for k in langs] for r in scripts], float).reshape(len(scripts), len(langs))
     uses = letters >= SCRIPT_SHARE * np.maximum(1, letters.sum(axis=0))
     return Model(langs, {r.gram: i for i, r in enumerate(top)}, np.log(table / table.sum(axis=0)), {r.gram[1:]: u for r, u in zip(scripts, uses, strict=True) if u.any()})
 

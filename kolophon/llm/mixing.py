@@ -99,7 +99,7 @@ def land(sizes: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x
 
 
-_COLS = "doc_id long, source string, size long, source_size long, target double, base long, x double, chunks long, r long"
+_COLS = "row long, doc_id long, source string, size long, source_size long, target double, base long, x double, chunks long, r long"
 
 
 def _fly(key: tuple, table: pa.Table) -> pa.Table:
@@ -115,7 +115,7 @@ def _fly(key: tuple, table: pa.Table) -> pa.Table:
     return table.set_column(at, "x", pa.array(x)).drop_columns(["chunk", "last", "turn", "big"])
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, row: str | None = None) -> DataFrame:
     """How many words, repeats counted, the mix takes of each document.
 
     ``docs`` has ``doc_id`` (long), ``text`` and ``source``; other columns are ignored. A
@@ -123,15 +123,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     ``docs``: doc_id, source, size, source_size, target (of its source), copies, taken (copies
     times size). ``cap`` bounds copies. A null source is a source. The draws come from hashes
     of a row's values, so reruns agree, also with repeated rows, each of which is drawn for
-    itself. An empty table gives an empty result.
+    itself. ``row`` names a column of longs that tells rows apart; it is returned as well, first and
+    as row. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sizes = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
+    sizes = scratch.save(docs.select((F.col(row) if row else F.lit(None)).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes")
     targets = scratch.save(source_targets(sizes, scratch, weights, share, cap), "targets")
     t = targets.withColumnRenamed("source", "t_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     state = sizes.join(t, sizes["source"].eqNullSafe(t["t_source"])).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "row", "doc_id", "source", "size", "source_size", "target",
         F.floor(rate).alias("base"),
         (rate - F.floor(rate)).alias("x"),
         F.ceil(F.col("n") / CHUNK).alias("chunks"),
@@ -154,4 +155,4 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     for d in done[1:]:
         out = out.unionByName(d)
     copies = (F.col("base") + F.col("x")).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select(*["row"] * bool(row), "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
