@@ -23,12 +23,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of this application.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as in
-    local tests, a temporary folder of the one machine is chosen and recorded.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset and all runs in
+    one process, as in tests, a temporary folder of the machine is chosen and recorded.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="kolophon-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/kolophon-{sc.applicationId}"
