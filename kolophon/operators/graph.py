@@ -74,9 +74,10 @@ def label_components(vertices: DataFrame, edges: DataFrame, scratch: Scratch | N
 
 def _kruskal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The maximum spanning forest of the edges of one partition."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     table = table.sort_by([("sim", "descending"), ("src", "ascending"), ("dst", "ascending")])
     src, dst = table.column("src").to_pylist(), table.column("dst").to_pylist()
     parent: dict = {}
@@ -97,12 +98,36 @@ def _kruskal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
+def boruvka(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The maximum spanning forest of ``edges(src, dst, sim)`` by joins alone.
+
+    In each round every component takes its best edge to another, the first by (sim, src, dst); what
+    these join is one component of the next. The number of components at least halves in a round.
+    """
+    best = F.min(F.struct((-F.col("sim")).alias("w"), "a", "b", "src", "dst")).alias("e")
+    out = None
+    cur = edges.select("src", "dst", "sim", F.col("src").alias("a"), F.col("dst").alias("b"))
+    while not cur.isEmpty():
+        ends = cur.withColumn("end", F.explode(F.array("src", "dst")))
+        picked = scratch.save(ends.groupBy("end").agg(best).select("e.*").distinct(), "picked")
+        own = picked.select(F.col("a").alias("src"), F.col("b").alias("dst"), (-F.col("w")).alias("sim"))
+        out = own if out is None else out.unionByName(own)
+        comps = scratch.save(connected_components(picked.select("src", "dst"), scratch), "merged")
+        for end in ("src", "dst"):
+            to = comps.select(F.col("node").alias(end), F.col("component").alias("_to"))
+            cur = cur.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        # Of parallel edges the best stays.
+        cur = cur.where("src != dst").withColumns({"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")}).groupBy("src", "dst").agg(F.min(F.struct((-F.col("sim")).alias("w"), "a", "b")).alias("e"))
+        cur = scratch.save(cur.select("src", "dst", (-F.col("e.w")).alias("sim"), "e.a", "e.b"), "contracted")
+    return edges if out is None else out
+
+
 def maximum_spanning_forest(edges: DataFrame, scratch: Scratch | None = None, part_rows: int = 2_000_000) -> DataFrame:
     """``(src, dst, sim)``: edges of a maximum spanning forest, which answers every threshold.
 
-    The forest of a union is the forest of the forests' union, so partitions of bounded size
-    are reduced in rounds, each dealing the rest into fewer of them. A forest has fewer edges
-    than nodes; the last partition holds as many, and is the one place where they meet. Ties
+    The forest of a union is the forest of the forests' union, so partitions of ``part_rows``
+    are reduced in rounds, each dealing the rest into fewer of them. Where more are left than
+    one partition may hold and a round no longer shrinks them, `boruvka` ends it with joins. Ties
     give one of several forests; the weights are those of all.
     """
     scratch = scratch or Scratch(edges.sparkSession, "forest")
@@ -114,11 +139,20 @@ def maximum_spanning_forest(edges: DataFrame, scratch: Scratch | None = None, pa
         parts = max(1, -(-m // part_rows))
         if n is not None and (parts == 1 and n == 1):
             return e
-        # A round that no longer shrinks ends in one partition.
-        parts = 1 if n is not None and parts >= n else parts
+        if n is not None and parts >= n > 1:
+            return boruvka(e, scratch)
         e, n = e.repartition(parts).mapInArrow(_kruskal, e.schema), parts
 
 
+def clusters_by_threshold(vertices: DataFrame, forest: DataFrame, thresholds: list[float], scratch: Scratch | None = None) -> DataFrame:
+    """``(threshold, node, component)``: `clusters_at` of all thresholds in one run, over copies of the nodes."""
+    ts = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("t")
+    at = lambda c: F.struct("t", F.col(c).alias("node"))
+    edges = forest.select("src", "dst", "sim", ts).where("sim >= t").select(at("src").alias("src"), at("dst").alias("dst"))
+    found = label_components(vertices.select("node", ts).select(at("node").alias("node")), edges, scratch)
+    return found.select(F.col("node.t").alias("threshold"), F.col("node.node").alias("node"), F.col("component.node").alias("component"))
+
+
 def clusters_at(vertices: DataFrame, forest: DataFrame, threshold: float, strict: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """``(node, component)`` of all vertices with the edges at or above the threshold, above it if ``strict``."""
     keep = F.col("sim") > threshold if strict else F.col("sim") >= threshold

@@ -20,8 +20,9 @@ def representatives(sigs: DataFrame) -> DataFrame:
 
 
 def members(sigs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``(line_id, rep)``."""
-    return sigs.join(reps.select("sig", "rep"), "sig").select("line_id", "rep")
+    """``(line_id, rep)``, by two hashes of the signature, which make the keys short."""
+    keys = [F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2")]
+    return sigs.select("line_id", *keys).join(reps.select("rep", *keys), ["h1", "h2"]).select("line_id", "rep")
 
 
 def candidate_pairs(sigs: DataFrame, cfg: MinHash) -> DataFrame:

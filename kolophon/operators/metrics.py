@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kolophon.config import Quality
@@ -60,6 +59,7 @@ def data_driven_thresholds(ranked: DataFrame, value: str, sim: Similarity, n_ste
     row = s.where(F.col("sim") > low).agg(F.count(F.lit(1)), F.percentile("sim", F.lit(p_low)), F.percentile("sim", F.lit(p_high))).first()
     spark = ranked.sparkSession
     if row[0] < few and not dense:
+        # Thresholds where hardly any pair is similar.
         grid = [0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90]
         return spark.createDataFrame([(x,) for x in grid], "threshold double")
     lo = max(row[1], floor) if row[0] >= few else 0.40
@@ -102,8 +102,8 @@ def numbered_members(clusters: DataFrame, scratch: Scratch) -> DataFrame:
     multi = cluster_sizes(clusters).where("size >= 2")
     numbered = with_global_index(scratch, multi, [F.col("component")], index="c")
     inside = clusters.join(numbered, "component")
-    at = F.row_number().over(W.partitionBy("component").orderBy("node")) - 1
-    return scratch.save(inside.select("c", at.alias("at"), "size", "node"), "members")
+    ranked = with_global_index(scratch, inside, [F.col("node")], group="component", index="at")
+    return scratch.save(ranked.select("c", "at", "size", "node"), "members")
 
 
 def inter_similarity(members: DataFrame, values: DataFrame, value: str, sim: Similarity, n_pairs: int = 2_000, seed: int = 42) -> DataFrame:
@@ -202,13 +202,14 @@ def stability(items: DataFrame, key: str, edges_of: Callable[[DataFrame], DataFr
     pairs = scratch.save(pairs.join(ids.select(F.col("idx").alias("i"), F.col("node").alias("a")), "i").join(ids.select(F.col("idx").alias("j"), F.col("node").alias("b")), "j").select("pair", "a", "b"), "pairs")
     seen = None
     for run in range(q.runs):
-        part = scratch.save(subsample(items, key, q.subsample, seed * 1000 + run), "part")
+        part = scratch.save(subsample(items, key, q.subsample, seed * 1000 + run, scratch), "part")
         comps = label_components(part.select(F.col(key).alias("node")), edges_of(part), scratch)
         a, b = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
         same = pairs.join(a, "a").join(b, "b").select("pair", (F.col("ca") == F.col("cb")).cast("double").alias("same"))
         seen = same if seen is None else seen.unionByName(same)
     p = seen.groupBy("pair").agg(F.avg("same").alias("p"))
-    return float(p.agg(1.0 - 4.0 * F.avg(F.col("p") * (1.0 - F.col("p")))).first()[0] or 1.0)
+    value = p.agg(1.0 - 4.0 * F.avg(F.col("p") * (1.0 - F.col("p")))).first()[0]
+    return 1.0 if value is None else float(value)
 
 
 def document_metrics(documents: DataFrame, pairs: DataFrame, forest: DataFrame, threshold: float, scratch: Scratch, q: Quality | None = None, seed: int = 42) -> DataFrame:

@@ -22,22 +22,69 @@ def coefficients(cfg: MinHash) -> tuple[np.ndarray, np.ndarray]:
     return rng.randint(1, PRIME, cfg.perms).astype(np.int64), rng.randint(0, PRIME, cfg.perms).astype(np.int64)
 
 
-def _hashes(shingles: set[str], cfg: MinHash) -> np.ndarray:
-    if cfg.hash == "md5":
-        return np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:4]) & PRIME for s in shingles], np.int64)
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(s.encode()) % PRIME for s in shingles], np.int64)
+#: Shingles whose slots a worker remembers, 4 bytes each, and shingles whose slots are looked at together.
+CACHE, STEP = 100_000, 16_384
+
+
+class _Slots(dict):
+    """Numbers of shingles; the slots of new ones, (a h + b) mod p, are worked out together."""
+
+    def __init__(self, cfg: MinHash):
+        self.a, self.b = coefficients(cfg)
+        self.md5 = cfg.hash == "md5"
+        self.new: list[str] = []
+        self.rows = np.empty((1024, cfg.perms), np.int32)
+
+    def __missing__(self, shingle: str) -> int:
+        self[shingle] = at = len(self)
+        self.new.append(shingle)
+        return at
+
+    def settle(self) -> None:
+        if not self.new:
+            return
+        while len(self.rows) < len(self):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        if self.md5:
+            h = np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:4]) & PRIME for s in self.new], np.int64)
+        else:
+            import xxhash
+
+            h = np.array([xxhash.xxh64_intdigest(s.encode()) % PRIME for s in self.new], np.int64)
+        at = len(self) - len(self.new)
+        for i in range(0, len(h), STEP):
+            part = h[i : i + STEP, None]
+            self.rows[at + i : at + i + len(part)] = (part * self.a + self.b) % PRIME
+        self.new = []
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], cfg: MinHash) -> Iterator[pa.RecordBatch]:
-    a, b = (x[:, None] for x in coefficients(cfg))
+    slots = _Slots(cfg)
     for batch in batches:
-        rows = np.empty((batch.num_rows, cfg.perms), np.int64)
+        rows = np.full((batch.num_rows, cfg.perms), PRIME, np.int64)
+        ids: list[int] = []
+        of: list[int] = []
+        starts: list[int] = []
+
+        def take() -> None:
+            slots.settle()
+            if starts:
+                least = np.minimum.reduceat(slots.rows[ids], starts, axis=0)
+                np.minimum.at(rows, of, least)
+            for held in (ids, of, starts):
+                held.clear()
+            if len(slots) > CACHE:
+                slots.clear()
+
         for i, text in enumerate(batch.column(1).to_pylist()):
-            h = _hashes({text[j : j + cfg.k] for j in range(max(1, len(text) - cfg.k + 1))}, cfg)
-            # The hashes of a line of text are few; a whole text is taken in parts.
-            rows[i] = np.min([((a * h[j : j + 4096] + b) % PRIME).min(axis=1) for j in range(0, len(h), 4096)], axis=0)
+            last = max(1, len(text) - cfg.k + 1)
+            for j in range(0, last, STEP):  # a line is one step; a whole text is taken in several
+                starts.append(len(ids))
+                of.append(i)
+                ids += map(slots.__getitem__, {text[x : x + cfg.k] for x in range(j, min(last, j + STEP))})
+                if len(ids) >= STEP:
+                    take()
+        take()
         flat = pa.array(rows.ravel())
         sig = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, cfg.perms), pa.int32()), flat)
         yield pa.RecordBatch.from_arrays([batch.column(0), sig], names=["line_id", "sig"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType
 
 from kolophon.operators.filters import top_k
 
-#: Vectors in a block of the exact search.
-BLOCK = 2048
+#: Vectors in a block of a search, and most cells of the one by cells: the centres are on the driver.
+BLOCK, MOST_CELLS = 2048, 16_384
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -142,6 +143,14 @@ def knn_exact(df: DataFrame, k: int, key: str = "vec_id", column: str = "embeddi
     a, b = packed.select(F.col("block").alias("i"), F.col("rows").alias("x")), packed.select(F.col("block").alias("j"), F.col("rows").alias("y"))
     grid = packed.select(F.col("block").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition("i", "j")
 
+    id_type = df.schema[key].dataType.simpleString()
+    near = grid.join(a, "i").join(b, "j").select("x", "y").mapInArrow(_nearest_in_blocks(k), f"src {id_type}, dst {id_type}, sim double")
+    return top_k(near, ["src"], [F.desc("sim"), F.asc("dst")], k)
+
+
+def _nearest_in_blocks(k: int) -> Callable:
+    """For each row (x, y) of two blocks of (id, v): the k of y nearest to each of x, itself left out by id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -153,18 +162,23 @@ def knn_exact(df: DataFrame, k: int, key: str = "vec_id", column: str = "embeddi
                 keep = np.isfinite(best)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ia, keep.sum(axis=1))), pa.array(ib[order][keep]), pa.array(best[keep])], names=["src", "dst", "sim"])
 
-    id_type = df.schema[key].dataType.simpleString()
-    near = grid.join(a, "i").join(b, "j").select("x", "y").mapInArrow(run, f"src {id_type}, dst {id_type}, sim double")
-    return top_k(near, ["src"], [F.desc("sim"), F.asc("dst")], k)
+    return run
 
 
 def knn_ivf(df: DataFrame, k: int, cells: int, probes: int, key: str = "vec_id", column: str = "embedding", seed: int = 42) -> DataFrame:
-    """As `knn_exact`, but within the ``probes`` cells of k-means nearest to a vector."""
+    """As `knn_exact`, but within the cells of k-means nearest to a vector.
+
+    There are ``cells`` of them, or the square root of the number of vectors if that is more, up to
+    MOST_CELLS; but 40 vectors for each. Of them the part ``probes / cells`` is searched. Blocks of a
+    cell's vectors meet, so no pairs of rows are made, and a large cell is in several blocks.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = df.count()
-    cells = max(1, min(cells, n // 40 or 1))
+    part = probes / cells
+    cells = max(1, min(max(cells, math.isqrt(n)), MOST_CELLS, n // 40 or 1))
+    probes = max(1, math.ceil(part * cells))
     points = df.select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v")).withColumn("features", array_to_vector("v"))
     centres = np.array(KMeans(k=cells, seed=seed, featuresCol="features").fit(points).clusterCenters()) if n else np.zeros((1, 1))
 
@@ -176,7 +190,15 @@ def knn_ivf(df: DataFrame, k: int, cells: int, probes: int, key: str = "vec_id",
     held = points.select("id", "v", nearest("v").alias("cells"))
     asks = held.select(F.col("id").alias("src"), F.col("v").alias("x"), F.explode("cells").alias("cell"))
     has = held.select(F.col("id").alias("dst"), F.col("v").alias("y"), F.col("cells")[0].alias("cell"))
-    near = asks.join(has, "cell").where("src != dst").select("src", "dst", dot("x", "y").alias("sim"))
+
+    def blocks(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        size = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n")))  # a row for each cell
+        dealt = rows.join(size, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("_n")))
+        return dealt.groupBy("cell", "block").agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(value).alias("v"))).alias(name)).drop("block")
+
+    id_type = df.schema[key].dataType.simpleString()
+    met = blocks(asks, "src", "x", "x").join(blocks(has, "dst", "y", "y"), "cell").select("x", "y")
+    near = met.mapInArrow(_nearest_in_blocks(k), f"src {id_type}, dst {id_type}, sim double")
     return top_k(near, ["src"], [F.desc("sim"), F.asc("dst")], k)
 
 

@@ -7,10 +7,9 @@ from functools import cache
 from kolophon.config import MinHash
 from kolophon.functions.text import GAPS
 from kolophon.operators.minhash import PRIME, coefficients
-from kolophon.operators.sweep import FALLBACK
 
 RAW = """
-lines AS (SELECT doc_id * 100000 + pos AS line_id, doc_id, pos, source, text FROM (
+lines AS (SELECT doc_id * 2147483648 + pos AS line_id, doc_id, pos, source, text FROM (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents))"""
 
 
@@ -108,5 +107,3 @@ def grid(sims: str, lo: float, hi: float, n: int, digits: int, low: float | None
 KNN = """unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 near AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.v, b.v) AS sim FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
 knn AS (SELECT * FROM (SELECT src, dst, sim, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM near) WHERE rank <= {k})"""
-
-FALLBACK_SQL = ", ".join(f"({x})" for x in FALLBACK)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kolophon.config import Apply, Knn, LineFilter, MinHash, Quality, Sampling
 from kolophon.functions import text as T
 from kolophon.operators import evaluation, filters, jaccard, lsh, metrics, minhash, sampling, sweep, vectors
-from kolophon.operators.graph import clusters_at, label_components, maximum_spanning_forest
+from kolophon.operators.graph import clusters_at, clusters_by_threshold, label_components, maximum_spanning_forest
 from kolophon.runtime import Scratch
 
 
@@ -45,8 +45,11 @@ def find_duplicates(lines: DataFrame, cfg: MinHash, apply: Apply, scratch: Scrat
     """
     scratch = scratch or Scratch(lines.sparkSession, "duplicates")
     sigs = scratch.save(minhash.signatures(lines, cfg), "signatures")
-    edges = lsh.line_edges(sigs, cfg).where(F.col("sim") >= apply.line_threshold)
-    clusters = label_components(sigs.select(F.col("line_id").alias("node")), edges, scratch)
+    # Representatives are clustered; the other lines with their signatures follow them.
+    reps = scratch.save(lsh.representatives(sigs), "representatives")
+    edges = lsh.representative_pairs(reps, cfg).where(F.col("sim") >= apply.line_threshold)
+    comps = label_components(reps.select(F.col("rep").alias("node")), edges, scratch).withColumnRenamed("node", "rep")
+    clusters = lsh.members(sigs, reps).join(comps, "rep").select(F.col("line_id").alias("node"), "component")
     dc = scratch.save(jaccard.document_clusters(lines, clusters), "document_clusters")
     links = scratch.save(jaccard.document_links(dc, apply.fan_out).where(F.col("jaccard") >= apply.document_threshold), "links")
     found = jaccard.document_jaccard(dc, apply.fan_out).where(F.col("jaccard") >= apply.document_threshold).unionByName(links)
@@ -86,9 +89,8 @@ def tune_labelled(lines: DataFrame, ks: list[int], thresholds: list[float], cfg:
         c = replace(cfg, k=k)
         sigs = scratch.save(minhash.signatures(lines, c), "signatures")
         forests[k] = line_forest(sigs, c, scratch)
-        for t in thresholds:
-            pred = clusters_at(nodes, forests[k], t, scratch=scratch).withColumnRenamed("component", "cluster")
-            rows.append(evaluation.evaluate(pred, gt).select(F.lit(k).alias("k"), F.lit(float(t)).alias("threshold"), "*"))
+        pred = clusters_by_threshold(nodes, forests[k], thresholds, scratch).withColumnRenamed("component", "cluster")
+        rows.append(evaluation.evaluate_sweep(pred, gt, "threshold").select(F.lit(k).alias("k"), "*"))
     table = scratch.save(_union(rows), "table")
     top = sweep.best(table, "recall", ["k", "threshold"]).first()
     if top is None:
@@ -108,11 +110,8 @@ def document_sweep(lines: DataFrame, clusters: DataFrame, truth: str | None, scr
         return _union([metrics.document_metrics(docs, pairs, forest, t, scratch) for t in grid])
     labels = filters.keep_first(lines.where(F.col(truth).isNotNull() & F.col("doc_id").isNotNull()), ["doc_id"], ["line_id"])
     gt = evaluation.clusters_from_labels(labels, "doc_id", truth)
-    rows = []
-    for t in grid:
-        pred = clusters_at(docs, forest, t, scratch=scratch).withColumnRenamed("component", "cluster")
-        rows.append(evaluation.evaluate(pred, gt, least=2).select(F.lit(float(t)).alias("threshold"), "*"))
-    return _union(rows)
+    pred = clusters_by_threshold(docs, forest, grid, scratch).withColumnRenamed("component", "cluster")
+    return evaluation.evaluate_sweep(pred, gt, "threshold", least=2)
 
 
 def tune_semantic_labelled(rows: DataFrame, truth: str, knn: Knn, n: int = 10, scratch: Scratch | None = None) -> DataFrame:
@@ -124,11 +123,8 @@ def tune_semantic_labelled(rows: DataFrame, truth: str, knn: Knn, n: int = 10, s
     forest = maximum_spanning_forest(edges, scratch)
     grid = [r.threshold for r in sweep.threshold_grid(near.where("sim > 0"), "sim", 50, 99, n, 4).collect()] or sweep.FALLBACK
     nodes, gt = rows.select(F.col("vec_id").alias("node")), evaluation.clusters_from_labels(rows, "vec_id", truth)
-    out = []
-    for t in grid:
-        pred = clusters_at(nodes, forest, t, scratch=scratch).withColumnRenamed("component", "cluster")
-        out.append(evaluation.evaluate(pred, gt, least=2).select(F.lit(float(t)).alias("threshold"), "*"))
-    return _union(out)
+    pred = clusters_by_threshold(nodes, forest, grid, scratch).withColumnRenamed("component", "cluster")
+    return evaluation.evaluate_sweep(pred, gt, "threshold", least=2)
 
 
 def line_quality(lines: DataFrame, sigs: DataFrame, cfg: MinHash, threshold: float, scratch: Scratch, q: Quality | None = None, with_stability: bool = True) -> DataFrame:

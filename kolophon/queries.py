@@ -2,11 +2,12 @@
 
 Lines are those of ``documents``, with ``source`` as their data set. There are no labels of
 lines, so equal normalised texts are the ground truth where one is asked for. Steps that
-several queries share are tables in the session's cache, by configuration and input path.
+several queries share are tables in the session's cache, by configuration and the input's files.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -17,15 +18,16 @@ from kolophon import oracles as O
 from kolophon.config import Apply, Knn, LineFilter, MinHash, Quality, Sampling
 from kolophon.functions import text as T
 from kolophon.operators import evaluation, filters, jaccard, lsh, metrics, minhash, sampling, sweep, vectors
-from kolophon.operators.graph import clusters_at, label_components, maximum_spanning_forest
+from kolophon.operators.graph import clusters_at, clusters_by_threshold, label_components, maximum_spanning_forest
 from kolophon.plans import pipelines as P
 from kolophon.runtime import Scratch
-from kolophon.sources.tables import TableCache, document_lines, pivot_heatmap, read_table
+from kolophon.sources.tables import TableCache, document_lines, pivot_heatmap, read_table, source_identity
 
 CFG, RULE = MinHash(), LineFilter()
 T_LINE, T_DOC, FAN_OUT = 0.5, 0.5, Apply().fan_out
-SAMPLE = Sampling(documents=300)
-KNN = Knn(k=10)
+SAMPLE, FEW = Sampling(), Sampling(documents=300)
+#: The embeddings have 64 dimensions, so no more than 10 directions of them are removed.
+KNN = Knn(abtt_global=10)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,8 +36,8 @@ ORACLE_SQL: dict[str, str] = {}
 class Shared:
     """Steps that queries have in common over one set of tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, identity: str = ""):
+        self.spark, self.dir, self.identity = spark, sf_dir, identity
         self.cache = TableCache(spark)
         self.scratch = Scratch(spark, "queries")
 
@@ -43,7 +45,7 @@ class Shared:
         return read_table(self.spark, self.dir, name)
 
     def kept(self, name: str, compute: Callable[[], DataFrame], *key) -> DataFrame:
-        return self.cache.get((self.dir, name, *key), compute)
+        return self.cache.get((self.dir, self.identity, name, *key), compute)
 
     @property
     def lines(self) -> DataFrame:
@@ -108,9 +110,11 @@ def query(sql: str | None = None) -> Callable:
 
     def add(f: Callable[[Shared], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            key = (spark.sparkContext.applicationId, sf_dir)
+            # Files that were written anew are another input.
+            identity = "-".join(source_identity(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings"))
+            key = (spark.sparkContext.applicationId, sf_dir, identity)
             if key not in _shared:
-                _shared[key] = Shared(spark, sf_dir)
+                _shared[key] = Shared(spark, sf_dir, identity)
             return f(_shared[key])
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
@@ -248,16 +252,26 @@ def doc_meta_stats(s: Shared) -> DataFrame:
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("n_lines"), 6).alias("mean_lines"), F.percentile("n_lines", F.lit(0.5)).alias("median_lines"))
 
 
-SAMPLED = ELIGIBLE + f""",
-quota AS (SELECT source, floor(greatest(count(*)::DOUBLE / (SELECT count(*) FROM eligible) * least({SAMPLE.documents}, (SELECT count(*) FROM eligible)), 1.0))::INT AS q FROM eligible GROUP BY source),
+def _sampled_sql(n: int) -> str:
+    return ELIGIBLE + f""",
+quota AS (SELECT source, floor(greatest(count(*)::DOUBLE / (SELECT count(*) FROM eligible) * least({n}, (SELECT count(*) FROM eligible)), 1.0))::INT AS q FROM eligible GROUP BY source),
 sampled AS (SELECT doc_id, source, n_lines FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {O.hash32(f"'{SAMPLE.seed}'", "doc_id::VARCHAR")}, doc_id) AS r FROM eligible) JOIN quota USING (source) WHERE r <= q)"""
 
 
+SAMPLED = _sampled_sql(SAMPLE.documents)
+
+
 @query(O.with_(SAMPLED, "SELECT * FROM sampled"))
 def stratified_sample(s: Shared) -> DataFrame:
     return sampling.stratified_sample(filters.sized_documents(s.prep, 2, 10), SAMPLE.documents, SAMPLE.seed).select("doc_id", "source", "n_lines")
 
 
+@query(O.with_(_sampled_sql(FEW.documents), "SELECT * FROM sampled"))
+def stratified_sample_of_few(s: Shared) -> DataFrame:
+    """As above, of fewer documents than there are."""
+    return sampling.stratified_sample(filters.sized_documents(s.prep, 2, 10), FEW.documents, FEW.seed).select("doc_id", "source", "n_lines")
+
+
 @query(O.with_(SAMPLED, "SELECT line_id, doc_id FROM prep WHERE doc_id IN (SELECT doc_id FROM sampled)"))
 def semi_join_sample(s: Shared) -> DataFrame:
     return P.sample_lines(s.prep, SAMPLE).select("line_id", "doc_id")
@@ -468,22 +482,33 @@ def f1_multi(s: Shared) -> DataFrame:
     return _rounded(evaluation.evaluate(_predicted(s), s.truth(), least=2))
 
 
-GRID = [(4, t) for t in (0.4, 0.6, 0.8)]
+KS, GRID_TS = (2, 3, 4, 5), (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+GRID = [(k, t) for k in KS for t in GRID_TS]
 
 
 def _grid_ctes() -> str:
-    ctes = O.candidates(CFG) + TRUTH
+    ctes = O.PREP + TRUTH
+    for k in KS:
+        own = O.candidates(replace(CFG, k=k))[len(O.PREP) :]
+        for x in ("perm", "sh", "slots", "sigs", "reps", "bands", "rep_pairs", "members"):
+            own = re.sub(rf"\b{x}\b", f"{x}{k}", own)
+        ctes += own
     for k, t in GRID:
         n = f"g{k}_{int(t * 10)}"
-        ctes += O.components("SELECT rep AS node FROM reps", f"SELECT src, dst FROM rep_pairs WHERE sim >= {t}", n)
-        ctes += f",\np_{n} AS (SELECT line_id AS node, component AS cluster FROM members JOIN {n} ON rep = {n}.node)"
+        ctes += O.components(f"SELECT rep AS node FROM reps{k}", f"SELECT src, dst FROM rep_pairs{k} WHERE sim >= {t}", n)
+        ctes += f",\np_{n} AS (SELECT line_id AS node, component AS cluster FROM members{k} JOIN {n} ON rep = {n}.node)"
     rows = " UNION ALL ".join(f"SELECT {k}::INT AS k, {t}::DOUBLE AS threshold, * FROM ({_evaluate_sql(f'p_g{k}_{int(t * 10)}', 1)})" for k, t in GRID)
     return ctes + f",\ntable_ AS ({rows})"
 
 
 def _grid(s: Shared) -> DataFrame:
-    rows = [_rounded(evaluation.evaluate(_predicted(s, t, replace(CFG, k=k)), s.truth()).select(F.lit(k).alias("k"), F.lit(t).alias("threshold"), "*")) for k, t in GRID]
-    return s.kept("grid", lambda: P._union(rows), CFG, tuple(GRID))
+    def of(k: int) -> DataFrame:
+        cfg = replace(CFG, k=k)
+        found = clusters_by_threshold(s.reps(cfg).select(F.col("rep").alias("node")), s.forest(cfg), list(GRID_TS), s.scratch)
+        lines = s.members(cfg).join(found, F.col("rep") == F.col("node")).select("threshold", F.col("line_id").alias("node"), F.col("component").alias("cluster"))
+        return _rounded(evaluation.evaluate_sweep(lines, s.truth(), "threshold").select(F.lit(k).alias("k"), "*"))
+
+    return s.kept("grid", lambda: P._union([of(k) for k in KS]), CFG, tuple(GRID))
 
 
 @query(O.with_(_grid_ctes(), "SELECT * FROM table_"))
@@ -496,9 +521,9 @@ def best_config(s: Shared) -> DataFrame:
     return sweep.best(_grid(s), "recall", ["k", "threshold"])
 
 
-@query(O.with_(_grid_ctes(), 'SELECT threshold, max(recall) FILTER (k = 4) AS k4 FROM table_ GROUP BY threshold'))
+@query(O.with_(_grid_ctes(), 'SELECT threshold, ' + ", ".join(f"max(recall) FILTER (k = {k}) AS k{k}" for k in KS) + " FROM table_ GROUP BY threshold"))
 def pivot_heatmap_recall(s: Shared) -> DataFrame:
-    return pivot_heatmap(_grid(s), "recall").withColumnRenamed("4", "k4")
+    return pivot_heatmap(_grid(s), "recall").withColumnsRenamed({str(k): f"k{k}" for k in KS})
 
 
 @query(O.with_(_grid_ctes(), "SELECT b.threshold AS value, b.threshold = t.lo OR b.threshold = t.hi AS at_edge FROM (SELECT * FROM table_ ORDER BY recall DESC, k, threshold LIMIT 1) b, (SELECT min(threshold) AS lo, max(threshold) AS hi FROM table_) t"))
@@ -579,7 +604,7 @@ def ivf_knn(s: Shared) -> DataFrame:
 
 # Internal quality ------------------------------------------------------------------------------
 
-Q = Quality(pairs=500)
+Q = Quality()
 
 
 def _sim(a, b):
@@ -632,7 +657,7 @@ def _pairs_sql(name: str, n: str, count: int, seed: str) -> str:
     return f"{name} AS (SELECT pair, i, CASE WHEN i = j THEN (j + 1) % {n} ELSE j END AS j FROM (SELECT pair, {i} AS i, {j} AS j FROM (SELECT unnest(range({count})) AS pair)))"
 
 
-INTER = NUMBERED + ",\n" + _pairs_sql("rp", "(SELECT max(c) + 1 FROM mem)", 500, "inter42") + f""",
+INTER = NUMBERED + ",\n" + _pairs_sql("rp", "(SELECT max(c) + 1 FROM mem)", Q.pairs, "inter42") + f""",
 inter AS (SELECT avg({SIM}) AS inter FROM (SELECT pair, v1.sig AS s1, v2.sig AS s2 FROM rp
   JOIN numbered n1 ON n1.c = i JOIN numbered n2 ON n2.c = j
   JOIN mem m1 ON m1.c = i AND m1.at = {O.hash32("'memberi42'", "pair::VARCHAR")} % n1.size
@@ -726,8 +751,7 @@ def composite(s: Shared) -> DataFrame:
 
 @query()
 def stability(s: Shared) -> DataFrame:
-    q = Quality(runs=2)
-    value = metrics.stability(s.sigs(), "line_id", lambda part: lsh.line_edges(part, CFG).where(F.col("sim") >= T_LINE), s.scratch, q)
+    value = metrics.stability(s.sigs(), "line_id", lambda part: lsh.line_edges(part, CFG).where(F.col("sim") >= T_LINE), s.scratch, Q)
     return s.spark.range(1).select(F.lit(float(value)).alias("stability"))
 
 
@@ -738,7 +762,51 @@ def document_metrics(s: Shared) -> DataFrame:
     return metrics.document_metrics(docs, pairs, maximum_spanning_forest(pairs, s.scratch), T_DOC, s.scratch)
 
 
-@query()
+@query(O.with_(O.document_pairs(CFG, T_LINE, FAN_OUT), f"SELECT doc_a, doc_b, shared, round(jaccard, 6) AS jaccard FROM doc_pairs WHERE jaccard >= {T_DOC}"))
 def apply_best_config(s: Shared) -> DataFrame:
     """The application pipeline from end to end, without shared steps: document pairs."""
-    return P.find_duplicates(s.prep, CFG, Apply(T_LINE, T_DOC, FAN_OUT))[0]
+    return P.find_duplicates(s.prep, CFG, Apply(T_LINE, T_DOC, FAN_OUT))[0].select("doc_a", "doc_b", "shared", r6("jaccard"))
+
+
+# Whole pipelines -------------------------------------------------------------------------------
+
+
+def _labelled(s: Shared) -> tuple[DataFrame, DataFrame]:
+    """The labelled pipeline by spelling: equal normalised lines are one group, a document's type is its source."""
+    names = ("labelled_lines", "labelled_documents")
+    made: list = []
+
+    def compute(i: int) -> DataFrame:
+        if not made:
+            lines = s.prep.join(s.truth().select(F.col("node").alias("line_id"), F.col("cluster").alias("idgroup")), "line_id")
+            made.extend(P.tune_labelled(lines.withColumn("type_id", F.col("source")), list(KS), list(GRID_TS), CFG, scratch=s.scratch))
+        return made[i]
+
+    return tuple(s.kept(name, lambda i=i: compute(i), CFG, tuple(GRID)) for i, name in enumerate(names))
+
+
+@query(O.with_(_grid_ctes(), "SELECT * FROM table_"))
+def tune_labelled_lines(s: Shared) -> DataFrame:
+    return _rounded(_labelled(s)[0])
+
+
+@query()
+def tune_labelled_documents(s: Shared) -> DataFrame:
+    return _rounded(_labelled(s)[1])
+
+
+@query()
+def tune_semantic_labelled(s: Shared) -> DataFrame:
+    return _rounded(P.tune_semantic_labelled(s.unit(), "source", KNN, scratch=s.scratch))
+
+
+@query()
+def tune_semantic(s: Shared) -> DataFrame:
+    """The unlabelled pipeline by meaning: thresholds of the neighbour graph by internal quality."""
+    return P.tune_semantic(s.unit(), KNN, scratch=s.scratch)
+
+
+@query()
+def tune_unlabelled(s: Shared) -> DataFrame:
+    """The unlabelled pipeline by spelling, for the shingle size of CFG: thresholds by internal quality."""
+    return s.kept("unlabelled", lambda: P.tune_unlabelled(s.prep, [CFG.k], CFG, SAMPLE, s.scratch)[0], CFG, SAMPLE)

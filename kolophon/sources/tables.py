@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kolophon.runtime import scratch_root
+from kolophon.runtime import Scratch, scratch_root, with_global_index
 
 LABELLED = "id string, verse string, idgroup string, idoriginal_poem string, type_id string"
 CORPUS = "verse string, idoriginal_poem string, source_dataset string"
-#: A document has fewer lines than this, so that line numbers are unique.
-LINES_PER_DOCUMENT = 100_000
+#: No text has more lines than it may have bytes, so line numbers are unique; one beyond a long is an error.
+LINES_PER_DOCUMENT = 1 << 31
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -28,7 +28,33 @@ def read_verses(spark: SparkSession, path: str, schema: str, required: tuple[str
     missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields])
+    return raw.select(*[F.trim((F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType)).alias(f.name) for f in wanted.fields])
+
+
+def verse_lines(verses: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(line_id, doc_id, source, text, ...)`` of a verse table, as the pipelines want it: a row is a line.
+
+    ``line_id`` is a gapless number in the order of id, if there is one, then poem and verse; ``doc_id``
+    is the poem's id, a string. ``source`` is null where the table has none; idgroup and type_id stay.
+    """
+    has = lambda c: F.col(c) if c in verses.columns else F.lit(None).cast("string")
+    rows = verses.select(has("id").alias("id"), F.col("idoriginal_poem").alias("doc_id"), has("source_dataset").alias("source"), F.col("verse").alias("text"), has("idgroup").alias("idgroup"), has("type_id").alias("type_id"))
+    order = [F.length("id"), F.col("id"), F.col("doc_id"), F.col("text")]
+    return scratch.save(with_global_index(scratch, rows, order, index="line_id"), "lines").drop("id")
+
+
+def source_identity(spark: SparkSession, path: str) -> str:
+    """What changes when the files below a path are written anew: their names, lengths and times."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return "none"
+    found = fs.listFiles(place, True)
+    files = []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()
 
 
 def document_lines(docs: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kolophon.config import Apply, MinHash, Quality
+from kolophon.config import Apply, MinHash, Quality, Sampling
 from kolophon.operators import evaluation, filters, jaccard, lsh, metrics, minhash, sampling, sweep, vectors
-from kolophon.operators.graph import clusters_at, connected_components, label_components, maximum_spanning_forest
+from kolophon.operators.graph import boruvka, clusters_at, clusters_by_threshold, connected_components, label_components, maximum_spanning_forest
 from kolophon.plans import pipelines
 from kolophon.runtime import Scratch, with_global_index
-from kolophon.sources.tables import LABELLED, TableCache, pivot_heatmap, read_verses, write_groups, write_pairs
+from kolophon.sources.tables import LABELLED, TableCache, pivot_heatmap, read_verses, verse_lines, write_groups, write_pairs
 
 
 def components(nodes, edges):
@@ -51,6 +52,35 @@ def test_forest_answers_thresholds(spark):
     assert {r.node: r.component for r in clusters_at(nodes, forest, 0.8, strict=True).collect()}[5] == 5
 
 
+def test_forest_by_joins_and_by_threshold(spark):
+    rng = random.Random(3)
+    edges = {}
+    for _ in range(300):
+        a, b = sorted(rng.sample(range(120), 2))
+        edges[a, b] = rng.randrange(20) / 20
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "src long, dst long, sim double").repartition(6)
+    # Kruskal, plainly: the multiset of weights is that of every maximum spanning forest.
+    p = {x: x for e in edges for x in e}
+
+    def find(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    want = []
+    for (a, b), s in sorted(edges.items(), key=lambda e: -e[1]):
+        if find(a) != find(b):
+            p[find(a)] = find(b)
+            want.append(s)
+    nodes = spark.createDataFrame([(i,) for i in range(130)], "node long")
+    forests = [maximum_spanning_forest(df), maximum_spanning_forest(df, part_rows=25), boruvka(df, Scratch(spark, "t"))]
+    for forest in forests:
+        assert sorted((r.sim for r in forest.collect()), reverse=True) == want
+        got = {(r.threshold, r.node): r.component for r in clusters_by_threshold(nodes, forest, [0.3, 0.9]).collect()}
+        for t in (0.3, 0.9):
+            assert {n: c for (u, n), c in got.items() if u == t} == components(range(130), [e for e, s in edges.items() if s >= t])
+
+
 def test_global_index(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 3).withColumn("w", F.col("id") % 5)
     rows = with_global_index(Scratch(spark, "t"), df, [F.desc("id")], group="g", weight="w").collect()
@@ -80,6 +110,64 @@ def test_evaluation(spark):
     assert (multi.recall, multi.precision, multi.f1) == (0.5, 0.5, 0.5)
 
 
+def test_evaluation_of_a_sweep(spark):
+    rng = random.Random(4)
+    rows = [(t, n, rng.randrange(1 + int(12 * t))) for t in (0.2, 0.5, 0.9) for n in range(40)]
+    pred = spark.createDataFrame(rows, "threshold double, node long, cluster long")
+    gt = spark.createDataFrame([(n, n // 2) for n in range(30)] + [(n, n) for n in range(30, 40)], "node long, cluster long")
+    for least in (1, 2):
+        got = {r.threshold: tuple(r)[1:] for r in evaluation.evaluate_sweep(pred, gt, "threshold", least).collect()}
+        assert got == {t: tuple(evaluation.evaluate(pred.where(F.col("threshold") == t).drop("threshold"), gt, least).first()) for t in got} and len(got) == 3
+
+
+def test_data_driven_thresholds(spark):
+    rng = random.Random(6)
+    same = lambda a, b: F.when(a == b, 0.9).otherwise(F.abs(a - b))
+    for values, dense in (([rng.random() for _ in range(60)], True), ([0.0] * 60, True), ([i / 1e6 for i in range(60)], False)):
+        ranked = spark.createDataFrame(list(enumerate(values)), "idx long, v double")
+        pairs = sampling.random_pairs(60, 3000, 42, spark).collect()
+        sims = np.array([0.9 if values[r.i] == values[r.j] else abs(values[r.i] - values[r.j]) for r in pairs])
+        got = [r.threshold for r in metrics.data_driven_thresholds(ranked, "v", same).collect()]
+        low, p, q, floor = (0.05, 20, 90, 0.25) if dense else (0.10, 30, 95, 0.40)
+        sims = sims[sims > low]
+        if not dense:
+            assert not len(sims) and got == [0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90]
+            continue
+        lo, hi = max(np.percentile(sims, p), floor), min(np.percentile(sims, q), 0.98)
+        assert got == sorted({round(lo + i * (hi - lo) / 7, 2) for i in range(8)})
+
+
+def test_document_metrics(spark):
+    pairs = [(1, 2, 0.9), (2, 3, 0.6), (1, 3, 0.5), (4, 5, 0.7), (5, 6, 0.3), (3, 4, 0.2)]
+    df = spark.createDataFrame(pairs, "src long, dst long, sim double")
+    docs = spark.createDataFrame([(i,) for i in range(1, 8)], "node long")
+    scratch = Scratch(spark, "t")
+    row = metrics.document_metrics(docs, df, maximum_spanning_forest(df), 0.5, scratch).first()
+    # Groups 1 2 3 and 4 5 of seven; the forest's edges at or above the threshold: .9, .6, .7.
+    assert (row.n, row.n_clusters, row.n_multi, row.clustered, row.max_size) == (7, 4, 2, 5, 3)
+    assert abs(row.intra - (0.9 + 0.6 + 0.7) / 3) < 1e-9 and row.inter == 0 and abs(row.sil - 1) < 1e-9  # fewer than ten below
+    spread = [1 - (0.9 + 0.6 + 0.5) / 3, 1 - 0.7]
+    # The members drawn have the similarity .2 if they are 3 and 4, else none that is known.
+    assert min(abs(row.dbi - sum(spread) / d) for d in (1.0, 0.8)) < 1e-9
+    nsr = 5 / 7
+    want = 0.3 * row.dbi_score + 0.25 * row.sil + 0.2 * max(0, 1 - ((nsr - 0.325) / 0.275) ** 2)
+    assert abs(row.composite - want) < 1e-9
+
+
+def test_stability_of_what_is_never_stable(spark):
+    # A pair that is together in half of all runs has p (1 - p) = 1/4, so its stability is 0, and stays 0.
+    items = spark.createDataFrame([(1,), (2,)], "id long")
+    turn = []
+
+    def edges(part):
+        turn.append(1)
+        both = part.crossJoin(part.select(F.col("id").alias("dst"))).select(F.col("id").alias("src"), "dst")
+        return both if len(turn) % 2 else both.where("false")
+
+    value = metrics.stability(items, "id", edges, Scratch(spark, "t"), Quality(runs=4, subsample=1.0, stability_pairs=5))
+    assert value == 0.0
+
+
 def test_sampling(spark):
     docs = spark.createDataFrame([(i, "a" if i < 90 else "b" if i < 99 else "c") for i in range(100)], "doc_id long, source string")
     got = {r.source: r["count"] for r in sampling.stratified_sample(docs, 10).groupBy("source").count().collect()}
@@ -218,8 +306,22 @@ def test_vectors(spark):
     sims = x @ x.T
     np.fill_diagonal(sims, -np.inf)
     assert {(r.src, r.dst) for r in near} == {(i, j) for i in range(80) for j in np.argsort(-sims[i])[:3]}
-    found = {(r.src, r.dst) for r in vectors.knn_ivf(df, 3, 2, 2).collect()}
-    assert len(found & {(r.src, r.dst) for r in near}) / len(near) > 0.9
+
+
+def test_ivf_recall(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 1500)] + 0.4 * rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sims = x @ x.T
+    np.fill_diagonal(sims, -np.inf)
+    want = {(i, int(j)) for i in range(1500) for j in np.argsort(-sims[i])[:10]}
+    got = vectors.knn_ivf(df, 10, 20, 8).collect()
+    assert len(want & {(r.src, r.dst) for r in got}) / len(want) >= 0.9
+    assert all(abs(r.sim - sims[r.src, r.dst]) < 1e-9 and r.src != r.dst for r in got[:500])
+    assert len({(r.src, r.rank) for r in got}) == len(got)
 
 
 def test_semantic_pipelines(spark):
@@ -256,6 +358,62 @@ def test_sources_and_sinks(spark, tmp_path):
     assert pivot_heatmap(sweep_table, "m").first().asDict() == {"threshold": 0.5, "3": 0.1, "4": 0.2}
 
 
+def test_verses_to_pipeline(spark, tmp_path):
+    src = tmp_path / "in.csv"
+    text = [x[2] for x in LINES]
+    src.write_text("id,verse,idgroup,idoriginal_poem,type_id\n" + "".join(f" {i + 1} ,{t} ,{g}, p{d} ,t{d}\n" for i, (t, g, d) in enumerate(zip(text, [1, 1, 1, 2, 2, 3], [1, 1, 2, 2, 3, 4], strict=True))))
+    scratch = Scratch(spark, "t")
+    lines = verse_lines(read_verses(spark, str(src), LABELLED), scratch)
+    assert [tuple(r) for r in lines.orderBy("line_id").select("line_id", "doc_id", "text").collect()] == [(i, f"p{d}", t) for i, (t, d) in enumerate(zip(text, [1, 1, 2, 2, 3, 4], strict=True))]
+    ready = pipelines.prepare_lines(lines)
+    pairs, groups, _ = pipelines.find_duplicates(ready, MinHash(k=3), Apply(0.5, 0.3, 500))
+    assert {(r.doc_a, r.doc_b) for r in pairs.collect()} == {("p1", "p2"), ("p2", "p3")}
+    table, documents = pipelines.tune_labelled(ready, [3], [0.5, 0.9], MinHash())
+    assert table.count() == 2 and documents.count() > 0
+
+
+def test_unlabelled_pipeline(spark):
+    rng = random.Random(2)
+    rows, at = [], 0
+    for d in range(40):
+        for _ in range(3):
+            words = LINES[rng.randrange(6)][2].split()
+            words[rng.randrange(len(words))] = rng.choice(["sea", "ship", "oar"])
+            rows.append((at, d, "s", " ".join(words)))
+            at += 1
+    lines = spark.createDataFrame(rows, "line_id long, doc_id long, source string, clean string")
+    table, documents = pipelines.tune_unlabelled(lines, [3], MinHash(), Sampling(documents=30), q=Quality(runs=2, pairs=50, stability_pairs=20))
+    got = table.collect()
+    assert got and all(0 <= r.composite <= 1 and 0 <= r.stability <= 1 and r.k == 3 for r in got)
+    assert documents.agg(F.max("composite")).first()[0] >= 0
+
+
+def test_files_written_anew_are_another_input(spark, tmp_path):
+    from kolophon import queries
+
+    path = str(tmp_path / "documents.parquet")
+    for n in (3, 4):
+        spark.createDataFrame([(d, LINES[0][2], "s") for d in range(n)], "doc_id long, text string, source string").write.mode("overwrite").parquet(path)
+        assert [r.size for r in queries.QUERIES["duplicate_groups"](spark, str(tmp_path)).collect()] == [n]
+
+
+def test_signatures_of_long_and_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "STEP", 50)
+    monkeypatch.setattr(minhash, "CACHE", 120)
+    rng, cfg = random.Random(1), MinHash(k=3, perms=8, bands=4)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([0, 2, 30, 400]))) for _ in range(60)]
+    a, b = minhash.coefficients(cfg)
+    import hashlib
+
+    def plain(t):
+        h = np.array([int.from_bytes(hashlib.md5(t[j : j + 3].encode()).digest()[:4]) & minhash.PRIME for j in range(max(1, len(t) - 2))])
+        return ((h[:, None] * a + b) % minhash.PRIME).min(axis=0).tolist()
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["line_id", "text"])
+    got = [x for out in minhash._signatures(iter([batch]), cfg) for x in out.column("sig").to_pylist()]
+    assert got == [plain(t) for t in texts]
+
+
 def test_hash_choice(spark):
     lines = spark.createDataFrame(LINES, "line_id long, doc_id long, clean string")
     a = minhash.signatures(lines, replace(MinHash(), hash="xxhash64")).first().sig
