@@ -14,8 +14,8 @@ n - ceil(t n) + 1 of the global order, as every pair of similarity t does.
 Within a bucket, the classes with one shingle in their prefixes, a few hubs are compared with all
 others first. What these links join needs no further comparison with each other, so a large group
 of near copies costs a few comparisons for each of its members. Afterwards every pair of a bucket
-that is in different components, and whose positions in the order leave enough to share, is
-compared too, so the components are those of all links.
+that is in different components, and whose positions in the order and bitmaps leave enough to
+share, is compared too, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -162,7 +162,10 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, often) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (part, signed(h), cid, n, c)], schema=_POST)
 
 
-_SETS = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("ks", pa.list_(pa.int64()))])
+#: Columns of 64 bits each that hold a bitmap of the shingles that others have too.
+MAP = [f"b{i}" for i in range(16)]
+_SETS = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("ks", pa.list_(pa.int64())), *((b, pa.int64()) for b in MAP)])
+_SETS_SQL = "cid long, n long, alone long, ks array<long>, " + ", ".join(f"{b} long" for b in MAP)
 
 
 def _arranged(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,10 @@ def _arranged(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         have = np.bincount(row, minlength=len(n))
         stay = n - have <= _lacking(n, percent)
         ks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(have[stay])), pa.int32()), pa.array(k[stay[row]]))
-        yield pa.RecordBatch.from_arrays([batch.column("cid").filter(pa.array(stay)), pa.array(n[stay]), pa.array((n - have)[stay]), ks], schema=_SETS)
+        bits = np.zeros((len(n), 64 * len(MAP)), bool)
+        bits[row, (k.view(np.uint64) >> np.uint64(20)).astype(np.int64) % bits.shape[1]] = True
+        maps = np.packbits(bits[stay], axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("cid").filter(pa.array(stay)), pa.array(n[stay]), pa.array((n - have)[stay]), ks, *(pa.array(maps[:, i].copy()) for i in range(len(MAP)))], schema=_SETS)
 
 
 _SEG = pa.schema([("cid", pa.int64()), ("frag", pa.int32()), ("seg", pa.list_(pa.int64()))])
@@ -252,7 +258,7 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     posts = docs.join(left.hint("merge"), "doc_id").mapInArrow(lambda it: _postings(it, k, often), _POST_SQL)
     counted = posts.withColumn("df", F.when(F.col("c") > 0, F.col("c") + _LAST).otherwise(F.count(F.lit(1)).over(W.partitionBy("part", "k"))))
     held = counted.where("df > 1").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "k")).alias("pairs"))
-    sets = scratch.save(held.mapInArrow(lambda it: _arranged(it, percent), "cid long, n long, alone long, ks array<long>"), "sets")
+    sets = scratch.save(held.mapInArrow(lambda it: _arranged(it, percent), _SETS_SQL), "sets")
 
     prefix = sets.select("cid", "n", "alone", F.posexplode(F.slice("ks", F.lit(1), F.greatest(most + 1 - F.col("alone"), F.lit(0)).cast("int"))).alias("i", "k"))
     prefix = scratch.save(prefix.select("k", F.col("cid").alias("doc"), (F.col("alone") + F.col("i")).alias("pos"), "n"), "prefix")
@@ -273,7 +279,8 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
 
     labelled = shared.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("k", "doc", "pos", "n", F.coalesce("component", "doc").alias("comp"))
     open_k = labelled.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-    rest = _pairs_across(scratch.save(labelled.join(open_k, "k", "left_semi"), "open"), percent)
+    maps = sets.select(F.col("cid").alias("doc"), (F.col("n") - F.col("alone")).alias("held"), *MAP)
+    rest = _pairs_across(scratch.save(labelled.join(open_k, "k", "left_semi").join(maps, "doc"), "open"), percent)
     rest = scratch.save(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         comps = connected_components(links.unionByName(_verified(rest, sets, percent, scratch)), scratch)
@@ -318,9 +325,13 @@ def _hub_pairs(hubs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
 def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs as above of one bucket, but of different components, that may link.
 
-    If k is the first shingle that both have, they share at most it and what remains of either.
+    If k is the first shingle that both have, they share at most it and what remains of either. And
+    a bit that one set alone has stands for a shingle, or more, that the other lacks.
     """
-    a, b = (rows.select("k", *[F.col(c).alias(f"{c}_{i}") for c in ("doc", "pos", "n", "comp")]) for i in (1, 2))
+    a, b = (rows.select("k", *[F.col(c).alias(f"{c}_{i}") for c in ("doc", "pos", "n", "comp", "held", *MAP)]) for i in (1, 2))
     j = a.join(b, "k").where("doc_1 < doc_2 AND comp_1 != comp_2").where(f"{percent} * greatest(n_1, n_2) <= 100 * least(n_1, n_2)")
     j = j.where(f"(100 + {percent}) * least(n_1 - pos_1, n_2 - pos_2) >= {percent} * (n_1 + n_2)")
+    for x, y in (("1", "2"), ("2", "1")):
+        lacks = " + ".join(f"bit_count({b}_{x} & ~{b}_{y})" for b in MAP)
+        j = j.where(f"(100 + {percent}) * (held_{x} - ({lacks})) >= {percent} * (n_1 + n_2)")
     return j.select(F.col("doc_1").alias("a"), F.col("doc_2").alias("b"), F.col("n_1").alias("na"), F.col("n_2").alias("nb")).distinct()
