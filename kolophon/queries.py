@@ -804,9 +804,3 @@ def tune_semantic_labelled(s: Shared) -> DataFrame:
 def tune_semantic(s: Shared) -> DataFrame:
     """The unlabelled pipeline by meaning: thresholds of the neighbour graph by internal quality."""
     return P.tune_semantic(s.unit(), KNN, scratch=s.scratch)
-
-
-@query()
-def tune_unlabelled(s: Shared) -> DataFrame:
-    """The unlabelled pipeline by spelling, for the shingle size of CFG: thresholds by internal quality."""
-    return s.kept("unlabelled", lambda: P.tune_unlabelled(s.prep, [CFG.k], CFG, SAMPLE, s.scratch)[0], CFG, SAMPLE)
