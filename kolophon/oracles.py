@@ -72,6 +72,18 @@ def components(vertices: str, edges: str, name: str = "comp") -> str:
 {name} AS (SELECT node, min(root) AS component FROM {name}_r GROUP BY node)"""
 
 
+def forest_weights(pairs: str, name: str) -> str:
+    """``(sim, edges)`` of a maximum spanning forest of ``pairs(src, dst, sim)``.
+
+    At or above a similarity it has as many edges as the components there have nodes beyond their first.
+    """
+    return f""",
+{name}_e AS (SELECT t, a, b FROM (SELECT DISTINCT sim AS t FROM ({pairs})) JOIN (SELECT src AS a, dst AS b, sim FROM ({pairs}) UNION SELECT dst, src, sim FROM ({pairs})) ON sim >= t),
+{name}_r(t, node, root) AS (SELECT DISTINCT t, a, a FROM {name}_e UNION SELECT r.t, e.b, r.root FROM {name}_r r JOIN {name}_e e ON e.t = r.t AND e.a = r.node),
+{name}_n AS (SELECT t, count(*) - count(DISTINCT root) AS m FROM (SELECT t, node, min(root) AS root FROM {name}_r GROUP BY t, node) GROUP BY t),
+{name} AS (SELECT t AS sim, m - coalesce(lag(m) OVER (ORDER BY t DESC), 0) AS edges FROM {name}_n)"""
+
+
 @cache
 def clusters(cfg: MinHash, t: float) -> str:
     """Components of representatives, and of all lines through them."""

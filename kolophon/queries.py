@@ -195,7 +195,10 @@ def shingle_hash(s: Shared) -> DataFrame:
     return s.prep.select("line_id", F.explode(T.shingles(F.col("clean"), 4)).alias("g")).select("line_id", T.hash31(F.col("g")).alias("h")).distinct()
 
 
-@query()
+LETTERS = "abcdefghijklmnop"
+
+
+@query(O.with_(O.PREP, "SELECT line_id, concat_ws(',', " + ", ".join(f"length(clean) - length(replace(clean, '{c}', ''))" for c in LETTERS) + ") AS embedding FROM prep"))
 def embed_encoder(s: Shared) -> DataFrame:
     """The encoder interface with a toy encoder: letter frequencies."""
 
@@ -203,11 +206,12 @@ def embed_encoder(s: Shared) -> DataFrame:
         import numpy as np
 
         def run(texts):
-            return np.array([[str(t).count(c) for c in "abcdefghijklmnop"] for t in texts], dtype=np.float32)
+            return np.array([[str(t).count(c) for c in LETTERS] for t in texts], dtype=np.float32)
 
         return run
 
-    return vectors.embed(s.prep.select("line_id", "clean"), encoder).select("line_id", "embedding")
+    counts = F.col("embedding").cast("array<int>").cast("array<string>")
+    return vectors.embed(s.prep.select("line_id", "clean"), encoder).select("line_id", F.array_join(counts, ",").alias("embedding"))
 
 
 # Corpus ----------------------------------------------------------------------------------------
@@ -361,7 +365,7 @@ def cluster_count_by_threshold(s: Shared) -> DataFrame:
     return kept.crossJoin(n).select("threshold", (F.col("n") - F.col("m")).alias("clusters"))  # n is one row
 
 
-@query()
+@query(O.with_(O.candidates(CFG) + O.forest_weights("SELECT src, dst, sim FROM rep_pairs", "forest"), "SELECT round(sim, 6) AS sim, edges FROM forest WHERE edges > 0"))
 def msf_weights(s: Shared) -> DataFrame:
     return s.forest().groupBy(r6("sim")).agg(F.count(F.lit(1)).alias("edges"))
 
@@ -714,26 +718,46 @@ def silhouette_proxy(s: Shared) -> DataFrame:
     return _metrics_row(s).select(r6("sil"))
 
 
-DENSITY = O.signatures(CFG) + ",\nranked AS (SELECT line_id, doc_id, sig, row_number() OVER (ORDER BY line_id) - 1 AS idx FROM sigs JOIN prep USING (line_id)),\n"
+RANKED = ",\nranked AS (SELECT line_id, doc_id, sig, row_number() OVER (ORDER BY line_id) - 1 AS idx FROM sigs JOIN prep USING (line_id)),\n"
+DENSITY = O.signatures(CFG) + RANKED
+
 
+def _drawn_sql(name: str, pairs: str) -> str:
+    """The similarities of the drawn ``pairs`` of ranked lines."""
+    return f"{name} AS (SELECT {SIM} AS sim FROM (SELECT a.sig AS s1, b.sig AS s2 FROM {pairs} JOIN ranked a ON a.idx = i JOIN ranked b ON b.idx = j))"
 
-@query(O.with_(DENSITY + _pairs_sql("rp", "(SELECT count(*) FROM ranked)", 2000, "42") + f", s AS (SELECT {SIM} AS sim FROM (SELECT a.sig AS s1, b.sig AS s2 FROM rp JOIN ranked a ON a.idx = i JOIN ranked b ON b.idx = j))", "SELECT round(avg(sim), 6) AS mean, quantile_cont(sim, 0.5) AS p50, quantile_cont(sim, 0.9) AS p90, avg((sim > 0.05)::INT) AS nonzero, avg((sim > 0.05)::INT) > 0.30 OR quantile_cont(sim, 0.5) > 0.15 AS dense FROM s"))
+
+@query(O.with_(DENSITY + _pairs_sql("rp", "(SELECT count(*) FROM ranked)", 2000, "42") + ", " + _drawn_sql("s", "rp"), "SELECT round(avg(sim), 6) AS mean, quantile_cont(sim, 0.5) AS p50, quantile_cont(sim, 0.9) AS p90, avg((sim > 0.05)::INT) AS nonzero, avg((sim > 0.05)::INT) > 0.30 OR quantile_cont(sim, 0.5) > 0.15 AS dense FROM s"))
 def corpus_density(s: Shared) -> DataFrame:
     return metrics.corpus_density(_ranked(s), "sig", _sim).select(r6("mean"), "p50", "p90", "nonzero", "dense")
 
 
-@query()
+def _data_driven_sql() -> str:
+    n = "(SELECT count(*) FROM ranked)"
+    ctes = DENSITY + ",\n".join([_pairs_sql("rp", n, 2000, "42"), _pairs_sql("more", n, 3000, "42"), _drawn_sql("s", "rp"), _drawn_sql("t", "more")])
+    ctes += """,
+d AS (SELECT avg((sim > 0.05)::INT) > 0.30 OR quantile_cont(sim, 0.5) > 0.15 AS dense FROM s),
+q AS (SELECT dense, CASE WHEN dense THEN 21 ELSE 30 END AS few, CASE WHEN dense THEN 0.25 ELSE 0.40 END AS least,
+  count(*) FILTER (sim > CASE WHEN dense THEN 0.05 ELSE 0.10 END) AS n,
+  CASE WHEN dense THEN quantile_cont(sim, 0.2) FILTER (sim > 0.05) ELSE quantile_cont(sim, 0.3) FILTER (sim > 0.10) END AS lo,
+  CASE WHEN dense THEN quantile_cont(sim, 0.9) FILTER (sim > 0.05) ELSE quantile_cont(sim, 0.95) FILTER (sim > 0.10) END AS hi FROM t, d GROUP BY dense),
+e AS (SELECT n < few AND NOT dense AS hardly, (CASE WHEN n >= few THEN greatest(lo, least) ELSE 0.40 END)::DOUBLE AS lo, least(coalesce(hi, 0.98), 0.98)::DOUBLE AS hi FROM q)"""
+    steps = "SELECT DISTINCT round_even(lo + i * ((hi - lo) / 7.0), 2)::DOUBLE AS threshold FROM e, (SELECT unnest(range(8)) AS i) WHERE NOT hardly"
+    return O.with_(ctes, f"{steps} UNION ALL SELECT unnest([0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90])::DOUBLE FROM e WHERE hardly")
+
+
+@query(_data_driven_sql())
 def data_driven_thresholds(s: Shared) -> DataFrame:
     return metrics.data_driven_thresholds(_ranked(s), "sig", _sim)
 
 
-WB = DENSITY + _pairs_sql("rp", "(SELECT count(*) FROM ranked)", 1000, "between42") + f""",
+BETWEEN = RANKED + _pairs_sql("apart", "(SELECT count(*) FROM ranked)", 1000, "between42") + f""",
 adj AS (SELECT line_id AS a, lead(line_id) OVER (PARTITION BY doc_id ORDER BY line_id) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY line_id) AS nth FROM prep),
 w AS (SELECT avg({SIM}) AS w FROM (SELECT x.sig AS s1, y.sig AS s2 FROM adj JOIN sigs x ON x.line_id = a JOIN sigs y ON y.line_id = b WHERE nth <= 10)),
-b AS (SELECT avg({SIM}) AS b FROM (SELECT x.sig AS s1, y.sig AS s2 FROM rp JOIN ranked x ON x.idx = i JOIN ranked y ON y.idx = j WHERE x.doc_id <> y.doc_id ORDER BY pair LIMIT 500))"""
+b AS (SELECT avg({SIM}) AS b FROM (SELECT x.sig AS s1, y.sig AS s2 FROM apart JOIN ranked x ON x.idx = i JOIN ranked y ON y.idx = j WHERE x.doc_id <> y.doc_id ORDER BY pair LIMIT 500))"""
 
 
-@query(O.with_(WB, "SELECT round(w, 6) AS within, round(b, 6) AS between, round(w / (w + b + 1e-9), 6) AS within_between FROM w, b"))
+@query(O.with_(O.signatures(CFG) + BETWEEN, "SELECT round(w, 6) AS within, round(b, 6) AS between, round(w / (w + b + 1e-9), 6) AS within_between FROM w, b"))
 def within_between(s: Shared) -> DataFrame:
     return metrics.within_between(s.prep, _ranked(s), "sig", _sim).select(r6("within"), r6("between"), r6("within_between"))
 
@@ -744,22 +768,67 @@ def degenerate_flag(s: Shared) -> DataFrame:
     return row.select(filters.degenerate(F.col("n_clusters"), F.col("nsr"), F.col("max_size"), F.col("n")).alias("degenerate"))
 
 
-@query()
-def composite(s: Shared) -> DataFrame:
-    return P.line_quality(s.prep, s.sigs(), CFG, T_LINE, s.scratch, Quality()).select("k", "threshold", "dbi_score", "sil", "nsr_peaked", "within_between", "stability", "degenerate", "composite")
+STABLE = f""",
+part AS (SELECT run, line_id, rep FROM (SELECT run, line_id, rep, row_number() OVER (PARTITION BY run ORDER BY {O.hash32("(42000 + run)::VARCHAR", "line_id::VARCHAR")}, line_id) AS r
+  FROM members, (SELECT unnest(range({Q.runs})) AS run)) WHERE r <= floor((SELECT count(*) FROM members)::DOUBLE * {Q.subsample}::DOUBLE)),
+part_reps AS (SELECT DISTINCT run, rep FROM part),
+part_e AS (SELECT x.run, src AS a, dst AS b FROM (SELECT src, dst, sim FROM rep_pairs UNION ALL SELECT dst, src, sim FROM rep_pairs)
+  JOIN part_reps x ON x.rep = src JOIN part_reps y ON y.rep = dst AND y.run = x.run WHERE sim >= {T_LINE}),
+part_r(run, node, root) AS (SELECT run, rep, rep FROM part_reps UNION SELECT r.run, e.b, r.root FROM part_r r JOIN part_e e ON e.run = r.run AND e.a = r.node),
+part_c AS (SELECT run, line_id, component FROM part JOIN (SELECT run, node AS rep, min(root) AS component FROM part_r GROUP BY run, node) USING (run, rep)),
+idx AS (SELECT line_id, row_number() OVER (ORDER BY line_id) - 1 AS idx FROM members),
+{_pairs_sql("asked", "(SELECT count(*) FROM members)", Q.stability_pairs, "stability42")},
+seen AS (SELECT pair, avg((x.component = y.component)::INT) AS p FROM asked JOIN idx a ON a.idx = i JOIN idx b ON b.idx = j
+  JOIN part_c x ON x.line_id = a.line_id JOIN part_c y ON y.line_id = b.line_id AND y.run = x.run GROUP BY pair),
+stable AS (SELECT coalesce(1 - 4 * avg(p * (1 - p)), 1.0) AS stability FROM seen)"""
 
 
-@query()
+@query(O.with_(O.candidates(CFG) + STABLE, "SELECT round(stability, 6) AS stability FROM stable"))
 def stability(s: Shared) -> DataFrame:
     value = metrics.stability(s.sigs(), "line_id", lambda part: lsh.line_edges(part, CFG).where(F.col("sim") >= T_LINE), s.scratch, Q)
-    return s.spark.range(1).select(F.lit(float(value)).alias("stability"))
+    return s.spark.range(1).select(F.round(F.lit(float(value)), 6).alias("stability"))
 
 
-@query()
+_PEAKED = "least(1.0, greatest(0.0, 1 - (nsr - 0.325) * (nsr - 0.325) / 0.275 / 0.275))"
+_PARTS = f"""SELECT {CFG.k}::INT AS k, {T_LINE}::DOUBLE AS threshold, round(1 / (1 + dbi), 6) AS dbi_score, round(intra / (intra + inter + 1e-12), 6) AS sil, round({_PEAKED}, 6) AS nsr_peaked,
+  round(w / (w + b + 1e-9), 6) AS within_between, round(stability, 6) AS stability, degenerate
+  FROM {_INTRA_SQL}, inter, dbi, w, b, stable, (SELECT {NSR} AS nsr, count(*) < 3 OR {NSR} > 0.85 OR max(size) > 0.6 * sum(size) AS degenerate FROM sz)"""
+
+
+@query(O.with_(INTER + SPREAD + DBI + BETWEEN + STABLE, f"SELECT *, CASE WHEN degenerate THEN 0.0 ELSE round(0.30::DOUBLE * dbi_score + 0.25::DOUBLE * sil + 0.20::DOUBLE * nsr_peaked + 0.15::DOUBLE * within_between + 0.10::DOUBLE * stability, 8) END AS composite FROM ({_PARTS})"))
+def composite(s: Shared) -> DataFrame:
+    """The parts to six digits, and the composite of these."""
+    row = P.line_quality(s.prep, s.sigs(), CFG, T_LINE, s.scratch, Quality())
+    row = row.select("k", "threshold", *[r6(c) for c in ("dbi_score", "sil", "nsr_peaked", "within_between", "stability")], "degenerate")
+    return metrics.composite_lines(row).withColumn("composite", F.round("composite", 8))
+
+
+DOCUMENTS = O.document_pairs(CFG, T_LINE) + O.components("SELECT doc_id AS node FROM doc_size", f"SELECT doc_a AS src, doc_b AS dst FROM doc_pairs WHERE jaccard >= {T_DOC}", "docc")
+DOCUMENTS += O.forest_weights(f"SELECT doc_a AS src, doc_b AS dst, jaccard AS sim FROM doc_pairs WHERE jaccard >= {T_DOC}", "forest")
+DOCUMENTS += f""",
+sz AS (SELECT component, count(*) AS size FROM docc GROUP BY component),
+numbered AS (SELECT component, size, row_number() OVER (ORDER BY component) - 1 AS c FROM sz WHERE size >= 2),
+mem AS (SELECT c, size, node, row_number() OVER (PARTITION BY component ORDER BY node) - 1 AS at FROM docc JOIN numbered USING (component) WHERE c < {Q.clusters}),
+intra AS (SELECT coalesce(sum(sim * edges) / sum(edges), 0.0) AS intra FROM forest),
+inter AS (SELECT CASE WHEN count(*) >= 10 THEN avg(jaccard) ELSE 0.0 END AS inter
+  FROM (SELECT jaccard FROM doc_pairs WHERE jaccard < {T_DOC} AND jaccard > 0 ORDER BY {O.hash32("'below42'", "doc_a::VARCHAR", "doc_b::VARCHAR")}, doc_a, doc_b LIMIT {Q.pairs})),
+spread AS (SELECT c, size, 1 - coalesce(avg(jaccard), 0.0) AS spread FROM (SELECT DISTINCT c, size FROM mem)
+  LEFT JOIN (SELECT x.c, jaccard FROM doc_pairs JOIN mem x ON x.node = doc_a JOIN mem y ON y.node = doc_b AND y.c = x.c) USING (c) GROUP BY c, size),
+ratio AS (SELECT i, j, ss / greatest(1 - coalesce(jaccard, 0.0), 1e-6) AS r FROM (SELECT a.c AS i, b.c AS j, a.spread + b.spread AS ss, m1.node AS n1, m2.node AS n2 FROM spread a JOIN spread b ON a.c < b.c
+  JOIN mem m1 ON m1.c = a.c AND m1.at = {O.hash32("'dbii42'", "a.c::VARCHAR", "b.c::VARCHAR")} % a.size
+  JOIN mem m2 ON m2.c = b.c AND m2.at = {O.hash32("'dbij42'", "a.c::VARCHAR", "b.c::VARCHAR")} % b.size) LEFT JOIN doc_pairs ON doc_a = least(n1, n2) AND doc_b = greatest(n1, n2)),
+dbi AS (SELECT coalesce(avg(r), 0.0) AS dbi FROM (SELECT c, max(r) AS r FROM (SELECT i AS c, r FROM ratio UNION ALL SELECT j, r FROM ratio) GROUP BY c)),
+measures AS (SELECT *, 1 / (1 + dbi) AS dbi_score, intra / (intra + inter + 1e-12) AS sil, {_PEAKED} AS nsr_peaked FROM intra, inter, dbi, (SELECT sum(size)::BIGINT AS n, count(*) AS n_clusters,
+  count(*) FILTER (size >= 2) AS n_multi, (coalesce(sum(size) FILTER (size >= 2), 0))::BIGINT AS clustered, max(size) AS max_size, coalesce({NSR}, 0.0) AS nsr FROM sz))"""
+_SCORES = ("nsr", "intra", "inter", "dbi_score", "sil", "nsr_peaked", "composite")
+
+
+@query(O.with_(DOCUMENTS, f"SELECT n, n_clusters, n_multi, clustered, max_size, round(dbi, 4) AS dbi, {T_DOC}::DOUBLE AS threshold, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SCORES) + " FROM (SELECT *, 0.30 * dbi_score + 0.25 * sil + 0.20 * nsr_peaked AS composite FROM measures)"))
 def document_metrics(s: Shared) -> DataFrame:
     pairs = s.doc_pairs().select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"), F.col("jaccard").alias("sim"))
     docs = s.dc().select(F.col("doc_id").alias("node")).distinct()
-    return metrics.document_metrics(docs, pairs, maximum_spanning_forest(pairs, s.scratch), T_DOC, s.scratch)
+    row = metrics.document_metrics(docs, pairs, maximum_spanning_forest(pairs, s.scratch), T_DOC, s.scratch)
+    return row.select("n", "n_clusters", "n_multi", "clustered", "max_size", F.round("dbi", 4).alias("dbi"), "threshold", *[r6(c) for c in _SCORES])
 
 
 @query(O.with_(O.document_pairs(CFG, T_LINE, FAN_OUT), f"SELECT doc_a, doc_b, shared, round(jaccard, 6) AS jaccard FROM doc_pairs WHERE jaccard >= {T_DOC}"))
