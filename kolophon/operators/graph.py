@@ -20,18 +20,28 @@ def _canonical(edges: DataFrame) -> DataFrame:
     )
 
 
+def _with_least(rows: DataFrame, low: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the ``m`` of their node in ``low(src, m)``.
+
+    The second key has ``low`` shuffled anew after its aggregate, so that both sides are plain
+    shuffles and adaptive execution can split the rows of a hub.
+    """
+    low = low.select(F.col("src").alias("_at"), F.xxhash64("src").alias("_h"), "m")
+    return rows.join(low, (rows[key] == F.col("_at")) & (F.xxhash64(rows[key]) == F.col("_h"))).drop("_at", "_h")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
     # Of a node's neighbours only the larger ones are hung below its least neighbour;
     # they are exactly the edges that point to the node.
     up = e.select(F.col("dst").alias("at"), F.col("src").alias("v"))
-    return up.join(low, up["at"] == low["src"]).select(F.col("v").alias("src"), F.col("m").alias("dst"))
+    return _with_least(up, low, "at").select(F.col("v").alias("src"), F.col("m").alias("dst"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     low = e.groupBy("src").agg(F.min("dst").alias("m"))
-    hung = e.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    hung = _with_least(e, low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return hung.unionByName(low.select("src", F.col("m").alias("dst"))).where(F.col("src") != F.col("dst"))
 
 
@@ -45,7 +55,8 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_r
     ``edges`` has comparable columns ``src`` and ``dst``. Loops, duplicates and direction do
     not matter; rows with a null end are ignored. An empty table gives an empty result. Each
     round is two joins over at most as many rows as there are edges; the number of rounds
-    grows with the logarithm of the longest path. No component is gathered in one place.
+    grows with the logarithm of the longest path. The rows of a hub, a node with very many
+    neighbours, meet in one key of these joins, which adaptive execution can split.
     """
     scratch = scratch or Scratch(edges.sparkSession, "components")
     e = scratch.save(_canonical(edges.select("src", "dst").dropna()), "edges")
