@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kolophon.config import MinHash
 from kolophon.functions import text as T
-from kolophon.operators import lsh, minhash
+from kolophon.operators import lsh, minhash, vectors
 from kolophon.operators.graph import maximum_spanning_forest
 from kolophon.plans import pipelines
 
@@ -51,3 +51,26 @@ def test_long_lines_are_told_by_their_heads(spark):
     assert got == {i: c for i, c in want.items() if 6 <= len(c.split()) <= 50} and set(got) == {2, 3, 4, 5}
     plan = pipelines.prepare_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\\p{N}_") <= 2
+
+
+def test_a_search_moves_its_vectors_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "TILE", 5)
+    monkeypatch.setattr(vectors, "HELD", 40)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 8))
+    x[60:80] = x[3]  # equal vectors are told apart by their ids alone
+    df = spark.createDataFrame([(1000 - i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = vectors.knn_exact(df, 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    sims = {(1000 - i, 1000 - j): float((x[i] * x[j]).sum()) for i in range(150) for j in range(150) if i != j}
+    want = {a: [b for _, b in sorted((-sims[a, b], b) for b in range(851, 1001) if b != a)[:6]] for a in range(851, 1001)}
+    got = {a: [] for a in want}
+    for r in sorted(found.collect(), key=lambda r: (r.src, r.rank)):
+        got[r.src].append(r.dst)
+        assert r.sim == sims[r.src, r.dst] and r.rank == len(got[r.src])
+    assert got == want
+    by_cells = vectors.knn_ivf(df, 6, 3, 3)
+    assert {(r.src, r.dst, r.rank) for r in by_cells.collect()} == {(a, b, i + 1) for a, v in want.items() for i, b in enumerate(v)}
+    assert vectors.knn_exact(df.limit(0), 6).count() == 0 and vectors.knn_exact(df.limit(1), 6).count() == 0
