@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from kolophon.config import MinHash
 from kolophon.functions import text as T
-from kolophon.operators import lsh, minhash, vectors
+from kolophon.operators import jaccard, lsh, minhash, sweep, vectors
 from kolophon.operators.graph import maximum_spanning_forest
 from kolophon.plans import pipelines
+from kolophon.runtime import Scratch
 
 
 def near_copies(spark, n, cfg):
@@ -74,3 +75,21 @@ def test_a_search_moves_its_vectors_once(spark, monkeypatch):
     by_cells = vectors.knn_ivf(df, 6, 3, 3)
     assert {(r.src, r.dst, r.rank) for r in by_cells.collect()} == {(a, b, i + 1) for a, v in want.items() for i, b in enumerate(v)}
     assert vectors.knn_exact(df.limit(0), 6).count() == 0 and vectors.knn_exact(df.limit(1), 6).count() == 0
+
+
+def test_jaccard_is_counted_without_its_pairs(spark):
+    rng = random.Random(8)
+    sets = {d: {0} if d < 40 else {rng.randrange(12) for _ in range(rng.randrange(1, 5))} for d in range(70)}
+    rows = [(d, c) for d, v in sets.items() for c in v | {100 + 3 * d + i for i in range(d % 3)}]  # and up to two of their own
+    dc = spark.createDataFrame(rows, "doc_id long, cluster long")
+    for cap in (None, 20):
+        pairs = jaccard.document_jaccard(dc, cap)
+        counts = jaccard.jaccard_counts(dc, Scratch(spark, "t"), cap).cache()
+        got = {}
+        for r in counts.collect():
+            got[r.jaccard] = got.get(r.jaccard, 0) + r.n
+        assert got == {r.jaccard: r["count"] for r in pairs.groupBy("jaccard").count().collect()}
+        assert sum(got.values()) > 10 * counts.count()
+        edges = [0, 0.1, 0.3, 0.5, 1.01]
+        assert sorted(jaccard.histogram(counts, "jaccard", edges, True, "n").collect()) == sorted(jaccard.histogram(pairs, "jaccard", edges, True).collect())
+        assert sweep.percentiles(counts, "jaccard", [5, 50, 99], "n").first() == sweep.percentiles(pairs, "jaccard", [5, 50, 99]).first()
