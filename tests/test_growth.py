@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from kolophon.config import MinHash
 from kolophon.functions import text as T
-from kolophon.operators import jaccard, lsh, minhash, sweep, vectors
-from kolophon.operators.graph import maximum_spanning_forest
+from kolophon.operators import evaluation, jaccard, lsh, minhash, sweep, vectors
+from kolophon.operators.graph import clusters_by_threshold, maximum_spanning_forest
 from kolophon.plans import pipelines
 from kolophon.runtime import Scratch
 
@@ -93,3 +93,32 @@ def test_jaccard_is_counted_without_its_pairs(spark):
         edges = [0, 0.1, 0.3, 0.5, 1.01]
         assert sorted(jaccard.histogram(counts, "jaccard", edges, True, "n").collect()) == sorted(jaccard.histogram(pairs, "jaccard", edges, True).collect())
         assert sweep.percentiles(counts, "jaccard", [5, 50, 99], "n").first() == sweep.percentiles(pairs, "jaccard", [5, 50, 99]).first()
+
+
+def test_a_forest_is_evaluated_by_units(spark):
+    rng = random.Random(9)
+    edges = [(a, b, rng.choice([0.3, 0.5, 0.7])) for a, b in {tuple(sorted(rng.sample(range(30), 2))) for _ in range(25)}]
+    members = [(u, n, rng.choice([None, u % 7, u % 7, 7 + u]) if u % 3 else u) for n, u in enumerate(list(range(30)) + [rng.randrange(30) for _ in range(30)])]
+    lines = spark.createDataFrame(members, "unit long, node long, cluster long")
+    forest = maximum_spanning_forest(spark.createDataFrame(edges, "src long, dst long, sim double"))
+    units = lines.groupBy(F.col("unit").alias("node")).agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.col("cluster").isNotNull()).alias("whole"))
+    truth = lines.where("cluster IS NOT NULL").select("node", "cluster")
+    sizes = truth.groupBy(F.col("cluster").alias("gt")).agg(F.count(F.lit(1)).alias("n_gt"))
+    found = clusters_by_threshold(units.select("node"), forest, [0.3, 0.6, 0.9]).withColumnRenamed("node", "unit")
+    pred = lines.select("unit", "node").join(found, "unit").select("threshold", "node", F.col("component").alias("cluster")).cache()
+    for least in (1, 2):
+        got = evaluation.evaluate_forest(units, sizes, forest, [0.3, 0.6, 0.9], Scratch(spark, "t"), least).collect()
+        want = evaluation.evaluate_sweep(pred, truth, "threshold", least).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and max(r.perfect_clusters for r in got) > 0
+
+
+def test_trees_of_documents_and_texts(spark):
+    rng = random.Random(10)
+    sets = {d: {0} if d < 15 else {rng.randrange(8) for _ in range(rng.randrange(1, 5))} for d in range(40)}
+    dc = spark.createDataFrame([(d, c) for d, v in sets.items() for c in v | {100 + 3 * d + i for i in range(d % 3)}], "doc_id long, cluster long")
+    pairs = jaccard.document_jaccard(dc).select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"), F.col("jaccard").alias("sim"))
+    weights = lambda e: sorted(r.sim for r in maximum_spanning_forest(e).collect())
+    assert weights(jaccard.document_trees(dc, Scratch(spark, "t"))) == weights(pairs)
+    cfg = MinHash(k=3, perms=32, bands=8)
+    texts = spark.createDataFrame([(i, f"arms and the man {'x' * (i % 4)} i sing who {i % 5}") for i in range(20)], "line_id long, clean string")
+    assert weights(lsh.text_trees(texts, cfg, Scratch(spark, "t"))) == weights(lsh.candidate_pairs(minhash.signatures(texts, cfg), cfg))
