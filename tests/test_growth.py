@@ -1,11 +1,12 @@
 """What a query makes on the way grows with its input, and no faster."""
 
+import hashlib
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from kolophon.config import MinHash
+from kolophon.config import MinHash, Quality
 from kolophon.functions import text as T
 from kolophon.operators import evaluation, jaccard, lsh, minhash, sweep, vectors
 from kolophon.operators.graph import clusters_by_threshold, maximum_spanning_forest
@@ -122,3 +123,32 @@ def test_trees_of_documents_and_texts(spark):
     cfg = MinHash(k=3, perms=32, bands=8)
     texts = spark.createDataFrame([(i, f"arms and the man {'x' * (i % 4)} i sing who {i % 5}") for i in range(20)], "line_id long, clean string")
     assert weights(lsh.text_trees(texts, cfg, Scratch(spark, "t"))) == weights(lsh.candidate_pairs(minhash.signatures(texts, cfg), cfg))
+
+
+def test_stability_of_all_runs_at_once(spark):
+    cfg, scratch = MinHash(k=3, perms=32, bands=8), Scratch(spark, "t")
+    sigs = scratch.save(near_copies(spark, 14, cfg).union(near_copies(spark, 3, cfg).select(F.col("line_id") + 50, "sig")))
+    q = Quality(runs=3, subsample=0.6, stability_pairs=60)
+    by = {r.line_id: tuple(r.sig) for r in sigs.collect()}
+    ids = sorted(by)
+    draw = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    share = lambda a, b: sum(x == y for x, y in zip(by[a], by[b], strict=True)) / 32
+    near = {(a, b): share(a, b) for a in ids for b in ids if a < b and any(by[a][i : i + 4] == by[b][i : i + 4] for i in range(0, 32, 4))}
+
+    def plain(t):
+        seen = {}
+        for run in range(3):
+            of = {x: x for x in sorted(ids, key=lambda x: (draw(42000 + run, x), x))[: int(len(ids) * 0.6)]}
+            for (a, b), s in near.items():
+                if s >= t and a in of and b in of:
+                    of = {x: of[a] if c == of[b] else c for x, c in of.items()}
+            for pair in range(60):
+                i, j = (draw("stability42", side, pair) % len(ids) for side in "ab")
+                a, b = ids[i], ids[(j + 1) % len(ids) if i == j else j]
+                if a in of and b in of:
+                    seen.setdefault(pair, []).append(of[a] == of[b])
+        p = [sum(v) / len(v) for v in seen.values()]
+        return 1 - 4 * sum(x * (1 - x) for x in p) / len(p)
+
+    t = min(sorted(set(near.values())), key=plain)
+    assert plain(t) < 1 and abs(lsh.stability(sigs, cfg, t, scratch, q) - plain(t)) < 1e-9
