@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kolophon.config import MinHash, Quality
 from kolophon.functions import text as T
-from kolophon.operators import evaluation, jaccard, lsh, minhash, sweep, vectors
+from kolophon.operators import evaluation, jaccard, lsh, metrics, minhash, sweep, vectors
 from kolophon.operators.graph import clusters_by_threshold, maximum_spanning_forest
 from kolophon.plans import pipelines
 from kolophon.runtime import Scratch
@@ -152,3 +152,15 @@ def test_stability_of_all_runs_at_once(spark):
 
     t = min(sorted(set(near.values())), key=plain)
     assert plain(t) < 1 and abs(lsh.stability(sigs, cfg, t, scratch, q) - plain(t)) < 1e-9
+
+
+def test_only_drawn_values_are_looked_up(spark):
+    cfg = MinHash(k=3, perms=32, bands=8)
+    sigs = near_copies(spark, 40, cfg)
+    ids = spark.createDataFrame([(i, i, i // 4) for i in range(40)], "idx long, line_id long, doc_id long")
+    same = lambda a, b: minhash.similarity(a, b, 32)
+    with_values = ids.join(sigs, "line_id")
+    pairs = spark.createDataFrame([(0, 1, 2), (1, 2, 39)], "pair long, i long, j long")
+    found = metrics.pair_similarities(pairs, ids, "sig", same, sigs)
+    assert sorted(found.collect()) == sorted(metrics.pair_similarities(pairs, with_values, "sig", same).select(*found.columns).collect())
+    assert metrics.corpus_density(ids, "sig", same, 50, values=sigs).first() == metrics.corpus_density(with_values, "sig", same, 50).first()
